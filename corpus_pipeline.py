@@ -9,7 +9,7 @@ from gridloom.llm import bpe, langid, mixing, queries, secrets, simhash
 from gridloom.llm.common import written
 
 #: A document whose calibrated probability is below this is rejected with those that have no letter.
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.35
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
