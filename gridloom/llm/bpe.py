@@ -1,8 +1,9 @@
 """BPE encoding and decoding with a contiguous rank array for each word.
 
-A word's part boundaries and the ranks of its adjacent parts lie in two short lists. The smallest rank is found by
-scanning, its boundary is deleted, and the ranks of the two neighbouring pairs are refreshed, until none can merge.
-Words longer than LONG symbols find the minimum through a heap instead, so a run of a million letters isn't quadratic.
+A word's parts and the ranks of its adjacent parts lie in two short arrays. The smallest rank is found by scanning, its
+boundary is deleted, and the ranks of the two neighbouring pairs are refreshed, until none can merge. The new words of
+a batch do so together, one word to a row of two matrices, and rows that are done leave. Words longer than LONG symbols
+find the minimum through a heap instead, so a run of a million letters isn't quadratic.
 """
 
 from __future__ import annotations
@@ -15,14 +16,18 @@ import struct
 import unicodedata
 from collections.abc import Callable
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Memo, map_rows
 
-LONG = 256
-NONE = 1 << 60
+#: Symbols of the longest word that is merged by scanning.
+LONG = 64
+#: Rows of the matrices at most.
+ROWS = 4096
+NONE = np.int64(1 << 40)
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 FULL_SCHEMA = "doc_id long, ids array<int>, decoded string"
 
@@ -53,35 +58,73 @@ class WordBPE:
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split if self.added else None
         self.letters = byte_letters()
         self.memo = Memo(self.chunk, most_cached)
-        self.words = Memo(self.word, most_cached)
-
-    def word(self, word: str) -> tuple[int, ...]:
-        """The ids of one pre-token."""
-        letters = self.letters
-        parts = [letters[b] for b in word.encode()]
+        self.load_pairs()
+
+    def load_pairs(self) -> None:
+        """Pairs of ids as sorted keys, with the rank of each and the id that it merges to."""
+        known = [(self.vocab[a] << 20 | self.vocab[b], r, self.vocab[a + b]) for (a, b), r in self.ranks.items() if {a, b, a + b} <= self.vocab.keys()]
+        # One row for a key: a pair of other letters that spell the same ids can't be, since ids name letters.
+        table = np.array(sorted(known), np.int64).reshape(-1, 3)
+        self.keys, self.key_rank = np.append(table[:, 0], 1 << 62), np.append(table[:, 1], NONE)
+        self.merged = np.full(len(self.ranks) + 1, -1, np.int64)
+        self.merged[table[:, 1]] = table[:, 2]
+        self.inner = np.array([self.vocab.get(c, -1) for c in self.letters], np.int64)
+        self.last = np.array([self.vocab.get(c + self.end, -1) for c in self.letters], np.int64)
+        self.regular = len(known) == len(self.ranks) and (self.inner >= 0).all() and (self.last >= 0).all()
+
+    def pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of ids; NONE where there is none or one side is past the end (-1)."""
+        key = np.where((a >= 0) & (b >= 0), a << 20 | b, -1)
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.key_rank[at], NONE)
+
+    def merge_rows(self, words: list[bytes]) -> list[list[int]]:
+        """The ids of short words, all merged together."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        width = int(sizes.max())
+        cols = np.arange(width)
+        letters = np.frombuffer(b"".join(words), np.uint8)
+        parts = np.full((len(words), width), -1, np.int64)
+        parts[cols < sizes[:, None]] = self.inner[letters]
+        parts[np.arange(len(words)), sizes - 1] = self.last[letters[np.cumsum(sizes) - 1]]
+        rows, out = np.arange(len(words)), [[]] * len(words)
+        ranks = self.pair_ranks(parts[:, :-1], parts[:, 1:]) if width > 1 else np.full((len(words), 1), NONE)
+        while True:
+            low = ranks.argmin(axis=1)
+            going = ranks[np.arange(len(rows)), low] < NONE
+            for r, ids in zip(rows[~going].tolist(), parts[~going].tolist(), strict=True):
+                out[r] = ids[: ids.index(-1)] if ids[-1] < 0 else ids
+            if not going.any():
+                return out
+            rows, low, parts, ranks = rows[going], low[going], parts[going], ranks[going]
+            n, at = np.arange(len(rows)), low[:, None]
+            new = self.merged[ranks[n, low]]
+            # Delete the boundary: what lies right of it moves one to the left.
+            wide = np.concatenate([parts, np.full((len(rows), 1), -1)], axis=1)
+            parts = np.where(cols > at, wide[:, 1:], parts)
+            parts[n, low] = new
+            more = np.concatenate([ranks, np.full((len(rows), 1), NONE)], axis=1)
+            ranks = np.where(np.arange(ranks.shape[1]) >= at, more[:, 1:], ranks)
+            # Refresh the two neighbours.
+            right = np.where(low + 1 < width, parts[n, np.minimum(low + 1, width - 1)], -1)
+            ranks[n, np.minimum(low, ranks.shape[1] - 1)] = self.pair_ranks(new, right)
+            has = low > 0
+            ranks[n[has], low[has] - 1] = self.pair_ranks(parts[n[has], low[has] - 1], new[has])
+
+    def long_word(self, word: bytes) -> list[int]:
+        parts = [self.letters[b] for b in word]
         parts[-1] += self.end
-        whole = self.vocab.get("".join(parts)) if len(parts) == 1 else None
-        if whole is not None:
-            return (whole,)
-        parts = self.merge_long(parts) if len(parts) > LONG else self.merge(parts)
         vocab = self.vocab
-        return tuple([vocab[p] for p in parts if p in vocab])
-
-    def merge(self, parts: list[str]) -> list[str]:
-        get = self.ranks.get
-        ranks = [get(p, NONE) for p in zip(parts, parts[1:])]
-        while ranks:
-            low = min(ranks)
-            if low == NONE:
-                break
-            i = ranks.index(low)
-            parts[i] += parts.pop(i + 1)
-            del ranks[i]
-            if i < len(ranks):
-                ranks[i] = get((parts[i], parts[i + 1]), NONE)
-            if i:
-                ranks[i - 1] = get((parts[i - 1], parts[i]), NONE)
-        return parts
+        return [vocab[p] for p in self.merge_long(parts) if p in vocab]
+
+    def words_ids(self, words: set[bytes]) -> dict[bytes, list[int]]:
+        """The ids of each pre-token, given as UTF-8."""
+        short = sorted((w for w in words if len(w) <= LONG and self.regular), key=len)
+        got = {w: self.long_word(w) for w in words if len(w) > LONG or not self.regular}
+        for k in range(0, len(short), ROWS):
+            part = short[k : k + ROWS]
+            got |= zip(part, self.merge_rows(part), strict=True)
+        return got
 
     def merge_long(self, parts: list[str]) -> list[str]:
         get, n = self.ranks.get, len(parts)
@@ -111,9 +154,27 @@ class WordBPE:
 
     def chunk(self, raw: str) -> tuple[bytes, str]:
         """Ids as little-endian bytes, and decoded text, of a stretch without white space."""
-        words = self.words
-        ids = [i for w in self.split(lowered(raw)) for i in words[w]]
-        return struct.pack(f"<{len(ids)}I", *ids), self.decode(ids)
+        return self.chunk_all([raw])[raw]
+
+    def chunk_all(self, raws: list[str]) -> dict[str, tuple[bytes, str]]:
+        split = {raw: [w.encode() for w in self.split(lowered(raw))] for raw in raws}
+        ids_of = self.words_ids({w for words in split.values() for w in words})
+        found = {}
+        for raw, words in split.items():
+            ids = ids_of[words[0]] if len(words) == 1 else [i for w in words for i in ids_of[w]]
+            found[raw] = struct.pack(f"<{len(ids)}I", *ids), self.decode(ids)
+        return found
+
+    def prepare(self, texts: list[str | None]) -> None:
+        """Puts what a batch's texts need into the cache, all new words at once."""
+        memo, new = self.memo, set()
+        for text in texts:
+            for part in self.special(text)[::2] if text and self.special and "<|" in text else [text or ""]:
+                new.update(chunks(part))
+        new = [c for c in new if c not in memo and c not in memo.old]
+        for k in range(0, len(new), 4 * ROWS):
+            for raw, value in self.chunk_all(new[k : k + 4 * ROWS]).items():
+                memo.put(raw, value)
 
     def pieces(self, text: str) -> list[tuple[bytes, str]]:
         memo = self.memo
@@ -170,6 +231,7 @@ def encoded(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: s
             ids = bpe.encode(text)
             return key, ids, bpe.decode(ids)
 
+        one.prepare = lambda keys, texts: bpe.prepare(texts)
         return one
 
     return map_rows(docs, [F.col(id_col).cast("long"), F.col(text_col)], FULL_SCHEMA, start)
@@ -180,6 +242,11 @@ def encode_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
 
     def start() -> Callable[..., tuple]:
         bpe = WordBPE(tokenizer)
-        return lambda key, text: (key, *bpe.digest(text))
+
+        def one(key, text):
+            return key, *bpe.digest(text)
+
+        one.prepare = lambda keys, texts: bpe.prepare(texts)
+        return one
 
     return map_rows(docs, [F.col(id_col).cast("long"), F.col(text_col)], SCHEMA, start)

@@ -54,7 +54,8 @@ def arrow_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
 def map_rows(df: DataFrame, columns: list[Column], schema: str, start: Callable[[], Callable[..., tuple]], rows: int = ARROW_ROWS) -> DataFrame:
     """One output row for each input row, made in Python from Arrow batches.
 
-    start() runs once in a task and returns the function of a row's values; it loads vocabularies and caches.
+    start() runs once in a task and returns the function of a row's values; it loads vocabularies and caches. If that
+    function has a `prepare`, it gets the columns of a batch before the rows do.
     """
     arrow_batches(df.sparkSession, rows)
     names = [f"c{i}" for i in range(len(columns))]
@@ -63,8 +64,11 @@ def map_rows(df: DataFrame, columns: list[Column], schema: str, start: Callable[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         one = start()
+        prepare = getattr(one, "prepare", None)
         for batch in batches:
             cols = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
+            if prepare:
+                prepare(*cols)
             out = [one(*values) for values in zip(*cols, strict=True)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True), fields, strict=True)], schema=fields)
@@ -103,8 +107,9 @@ class Memo(dict):
 
     def __missing__(self, key):
         value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
+        return self.put(key, self.make(key) if value is None else value)
+
+    def put(self, key, value):
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
