@@ -94,6 +94,11 @@ def join_small(big: DataFrame, small: DataFrame, keys: list[str], how: str = "le
     return big.join(side, cond, how).select(*big.columns, *more)
 
 
+def packed(df: DataFrame, **more: Column) -> DataFrame:
+    """The row as one column, `row`, beside columns of our own: no name of the table can clash with them."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(n) for n, c in more.items()])
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, ASCII_UPPER, ASCII_UPPER.lower())
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, map_rows
+from .common import arrow_batches, map_rows, packed
 
 BINS = 1 << 15
 #: Bounds of the fit: rows in the sample, and labels that are learned (the most frequent ones).
@@ -198,9 +198,9 @@ def predicted(docs: DataFrame, model: Model, text_col: str = "text", lang_name:
         got = [held.value.predict(t) for t in texts.to_pylist()]
         return pa.StructArray.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["lang", "score"])
 
-    rest = [F.col(f"`{c}`") for c in docs.columns if c not in (lang_name, score_name)]
-    marked = docs.select(*rest, guess(F.col(text_col)).alias("__guess"))
-    return marked.select(*rest, F.col("__guess.lang").alias(lang_name), F.col("__guess.score").alias(score_name))
+    rest = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in (lang_name, score_name)]
+    marked = packed(docs, guess=guess(F.col(text_col)))
+    return marked.select(*rest, F.col("guess.lang").alias(lang_name), F.col("guess.score").alias(score_name))
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_rows: int = MOST_ROWS) -> DataFrame:

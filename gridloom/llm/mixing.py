@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import SPACE_CLASS, join_small, written
+from .common import SPACE_CLASS, join_small, packed, written
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2
@@ -167,15 +167,11 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     Rows of one unit that differ (equal id, source and size, other text) are given their copies by the order of a hash
     of the whole row.
     """
-    names = docs.columns
-    c = copies(docs, id_col, text_col, source_col, **how).select(*[F.col(k).alias(f"__{k}") for k in KEYS], *[F.col(k).alias(f"__{k}") for k in ("rows", "base", "extra", "x")])
-    d = docs.select(*[F.col(f"`{n}`") for n in names], word_count(F.col(text_col)).alias("__n"))
-    on = d[source_col].cast("string").eqNullSafe(c["__source"]) & d[id_col].cast("long").eqNullSafe(c["__doc_id"]) & (d["__n"] == c["__size"])
-    j = d.join(c, on, "inner")
-    one = j.filter(F.col("__rows") == 1).withColumn("__k", F.lit(1))
-    many = j.filter(F.col("__rows") > 1)
-    keys = ["__source", "__doc_id", "__size"]
-    many = many.withColumn("__k", F.row_number().over(W.partitionBy(*keys).orderBy(F.xxhash64(*[F.col(f"`{n}`").cast("string") for n in names]))))
-    n = F.col("__base") + (F.col("__k") <= F.col("__extra") + F.col("__x")).cast("long")
+    c = copies(docs, id_col, text_col, source_col, **how).select(*KEYS, "rows", "base", "extra", "x")
+    d = packed(docs, s=F.col(source_col).cast("string"), i=F.col(id_col).cast("long"), n=word_count(F.col(text_col)))
+    j = d.join(c, F.col("s").eqNullSafe(F.col("source")) & F.col("i").eqNullSafe(F.col("doc_id")) & (F.col("n") == F.col("size")))
+    one = j.filter(F.col("rows") == 1).withColumn("k", F.lit(1))
+    many = j.filter(F.col("rows") > 1).withColumn("k", F.row_number().over(W.partitionBy(*KEYS).orderBy(F.xxhash64("row"))))
+    n = F.col("base") + (F.col("k") <= F.col("extra") + F.col("x")).cast("long")
     both = one.unionByName(many).filter(n > 0)
-    return both.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), n))).select(*[F.col(f"`{x}`") for x in names])
+    return both.select("row", F.explode(F.sequence(F.lit(1).cast("long"), n)).alias("copy")).select("row.*")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import arrow_batches, written
+from .common import arrow_batches, packed, written
 
 SHINGLE, SEED = 3, 42
 HALF_VARIANTS = 32
@@ -155,20 +155,18 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Of rows that repeat such an id one stays. A row without an id stays only if no row of its component has one, and
     then one such row for each text does.
     """
-    names = docs.columns
     classes = written(simhash_classes(docs, id_col, text_col), "simhash-classes")
     keep = classes.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("n"))
-    kept = docs.join(keep.select(F.col("doc_id").alias("__id"), F.col("n").alias("__n")), docs[id_col].cast("long") == F.col("__id"), "inner")
+    rows = packed(docs, id=F.col(id_col).cast("long"))
+    kept = rows.join(keep.withColumnRenamed("doc_id", "keep_id"), F.col("id") == F.col("keep_id"))
     if not keep.filter("n > 1").isEmpty():
-        by = W.partitionBy("__id").orderBy(F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in names]))
-        kept = kept.withColumn("__k", F.row_number().over(by)).filter("__n = 1 or __k = 1")
-    kept = kept.select(*[F.col(f"`{c}`") for c in names])
+        by = W.partitionBy("id").orderBy(F.xxhash64("row"))
+        kept = kept.withColumn("k", F.row_number().over(by)).filter("n = 1 or k = 1")
+    kept = kept.select("row")
     nameless = classes.filter("component_id is null").select("fingerprint").distinct()
     if not nameless.isEmpty():
         arrow_batches(docs.sparkSession)
-        rows = docs.filter(F.col(id_col).isNull()).withColumn("__fp", fingerprint_column(F.col(text_col)))
-        rows = rows.join(nameless.withColumnRenamed("fingerprint", "__hex"), hex64("__fp") == F.col("__hex"), "left_semi")
-        kept = kept.unionByName(rows.dropDuplicates([text_col]).select(*[F.col(f"`{c}`") for c in names]))
-    return kept
-
-
+        rows = packed(docs.filter(F.col(id_col).isNull()), text=F.col(text_col)).withColumn("fp", fingerprint_column(F.col("text")))
+        rows = rows.join(nameless, hex64("fp") == F.col("fingerprint"), "left_semi")
+        kept = kept.unionByName(rows.dropDuplicates(["text"]).select("row"))
+    return kept.select("row.*")
