@@ -87,6 +87,16 @@ def match_ordered(df: DataFrame, key: str, table: DataFrame, table_key: str, pos
     return found.select(*[F.col(f"__left.`{c}`").alias(c) for c in df.columns], *[F.col(f"__row.`{n}`").alias(n) for n in values])
 
 
+def raised(table: DataFrame, key: str, pos: str) -> DataFrame:
+    """Adds __raised, the greatest key so far by position: a window inside each bin of positions, and what the bins before reached."""
+    x = F.col(f"`{key}`").cast("double")
+    dealt = binned(table.filter(F.col(f"`{pos}`").isNotNull()), pos, edges(table, pos), "__bin")
+    before = W.orderBy("__bin").rowsBetween(W.unboundedPreceding, -1)  # one row for each bin
+    tops = dealt.groupBy("__bin").agg(F.max(x).alias("__top")).select("__bin", F.max("__top").over(before).alias("__top"))
+    inside = W.partitionBy("__bin").orderBy(pos).rowsBetween(W.unboundedPreceding, 0)
+    return dealt.join(F.broadcast(tops), "__bin").withColumn("__raised", F.greatest("__top", F.max(x).over(inside))).drop("__bin", "__top")
+
+
 def vlookup_approx(df: DataFrame, key: str, table: DataFrame, table_key: str, pos: str, values: dict[str, str], in_order: bool = True) -> DataFrame:
     """Approximate lookup: the last row before the first key that is greater than the wanted one.
 
@@ -94,9 +104,7 @@ def vlookup_approx(df: DataFrame, key: str, table: DataFrame, table_key: str, po
     maximum by position, which keeps the same rows before the first greater key.
     """
     if not in_order:
-        so_far = W.orderBy(pos).rowsBetween(W.unboundedPreceding, 0)
-        table = table.withColumn("__raised", F.max(F.col(f"`{table_key}`").cast("double")).over(so_far))
-        table_key = "__raised"
+        table, table_key = raised(table, table_key, pos), "__raised"
     return match_ordered(df, key, table, table_key, pos, values)
 
 

@@ -19,6 +19,7 @@ from ..functions import registry
 from ..functions.values import DIV0, NA, NAME, NUM, REF, TEXT, Val, boolean, column_value, error, errors_of, fails, lit, merged, number, text, to_num, to_text
 from ..operators.criteria import criterion
 from ..operators.orderstats import gcd_of, kth_values, mean_absolute_deviation, modal_value, trimmed_mean
+from .lookups import Lookups, Table
 from .parser import FormulaError, Node, parse
 
 FORMATTED = {"TEXT": 1, "DOLLAR": 1, "FIXED": 1}
@@ -263,10 +264,10 @@ class SummaryCompiler(RowCompiler):
     do_quartile_inc = do_quartile
 
     def do_npv(self, node: Node) -> Val:
-        raise FormulaError("NPV takes scalars; use gridloom.operators.running.npv over a table")
+        raise FormulaError("NPV takes scalars")
 
     def do_index(self, node: Node) -> Val:
-        raise FormulaError("INDEX over a table: use gridloom.operators.lookup.index_rows")
+        raise FormulaError(f"{node.value} belongs in a calculated column, with its table named in tables")
 
     do_match = do_vlookup = do_hlookup = do_index
 
@@ -289,16 +290,32 @@ def result(v: Val, name: str, errors: bool) -> list[Column]:
     return out + ([(none if v.err is None else v.err).alias(f"{name}_error")] if errors else [])
 
 
-def calculated(df: DataFrame, formulas: dict[str, str], errors: bool = False) -> DataFrame:
-    """Adds calculated columns; a later formula can use an earlier one's name. One projection for each level of use."""
+def calculated(df: DataFrame, formulas: dict[str, str], errors: bool = False, tables: dict[str, Table] | None = None) -> DataFrame:
+    """Adds calculated columns; a later formula can use an earlier one's name. One projection for each level of use.
+
+    Lookups in a formula are joins to the tables that it names.
+    """
     for name, formula in formulas.items():
-        v = compile_tree(RowCompiler(dict(df.dtypes)), formula)
+        joined, v = located(df, formula, tables) if tables else (df, compile_tree(RowCompiler(dict(df.dtypes)), formula))
         new = result(v, name, errors)
         taken = {name, f"{name}_error"} if errors else {name}
-        df = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in taken], *new)
+        df = joined.select(*[F.col(f"`{c}`") for c in df.columns if c not in taken], *new)
     return df
 
 
+def located(df: DataFrame, formula: str, tables: dict[str, Table]) -> tuple[DataFrame, Val]:
+    """The table with what the formula's lookups found beside its columns, and the formula over both."""
+    schema = dict(df.dtypes)
+    found = Lookups(df, tables, lambda names: RowCompiler(schema, names))
+    try:
+        tree = found.bound(parse(formula))
+    except FormulaError as bad:
+        if str(bad).startswith(("expected", "unexpected")):
+            return df, error(NAME)
+        raise
+    return found.df, RowCompiler(schema, found.names).compile(tree)
+
+
 def summary(df: DataFrame, formulas: dict[str, str], by: list[str] | None = None, errors: bool = False) -> DataFrame:
     """One row (or one for each group) with a column for each formula: all aggregates in one pass over the table."""
     plan = Summary()

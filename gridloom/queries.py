@@ -12,6 +12,7 @@ from .functions.registry import catalogue
 from .operators import documents as docs
 from .operators import grid, lookup, orderstats, pivot
 from .plans.compiler import calculated, evaluate, summary
+from .plans.lookups import Table
 from .sources import csv, texts
 from .streaming import windows
 
@@ -142,6 +143,20 @@ def match_descending(spark, d):
     return lookup.match_ordered(table(spark, d, "part").select("p_partkey", "p_retailprice"), "p_retailprice", bands(spark), "lower", "pos", {"position": "pos"}, ascending=False).drop("p_retailprice")
 
 
+@query(f"""SELECT p_partkey, coalesce(label, 'none') AS band, CASE WHEN label IS NULL THEN '#N/A' END AS raw_error FROM part ASOF LEFT JOIN {BANDS_SQL} ON p_retailprice - 100 >= lower""")
+def formula_vlookup(spark, d):
+    f = {"band": '=IFERROR(VLOOKUP(p_retailprice-100,bands,2),"none")', "raw": "=VLOOKUP(p_retailprice-100,bands,2,TRUE)"}
+    return calculated(table(spark, d, "part").select("p_partkey", "p_retailprice"), f, errors=True, tables={"bands": Table(bands(spark), "pos", in_order=True)}).select("p_partkey", "band", "raw_error")
+
+
+@query("""SELECT c_custkey, lower(n_name) AS nation, r_name AS region FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey = n_regionkey""")
+def formula_index_match(spark, d):
+    n = table(spark, d, "nation").withColumn("pos", F.col("n_nationkey") + 1)
+    r = table(spark, d, "region").withColumn("pos", F.col("r_regionkey") + 1)
+    f = {"nation": "=LOWER(INDEX(nation!n_name,MATCH(c_nationkey,nation!n_nationkey,0)))", "region": "=VLOOKUP(INDEX(nation!n_regionkey,MATCH(c_nationkey,nation!n_nationkey,0)),region!r_regionkey:r_name,2,FALSE)"}
+    return calculated(table(spark, d, "customer").select("c_custkey", "c_nationkey"), f, tables={"nation": Table(n, "pos"), "region": Table(r, "pos")}).drop("c_nationkey")
+
+
 @query("SELECT c_custkey, rank() OVER (ORDER BY c_acctbal DESC) AS rank FROM customer")
 def rank_eq(spark, d):
     return orderstats.rank_rows(table(spark, d, "customer").select("c_custkey", "c_acctbal"), "c_acctbal").drop("c_acctbal")

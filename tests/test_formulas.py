@@ -6,6 +6,7 @@ import pytest
 
 from gridloom.functions.registry import load
 from gridloom.plans.compiler import calculated, evaluate, summary
+from gridloom.plans.lookups import Table
 from gridloom.plans.parser import FormulaError, parse
 
 GOLDENS = {
@@ -85,3 +86,26 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], "v double")
     row = summary(df, {"s": "=SUM(v)", "a": "=AVERAGE(v)", "n": "=COUNT(v)", "m": "=MEDIAN(v)", "t": "=TRIMMEAN(v,0.2)"}, errors=True).first()
     assert (row["s"], row["n"], row["a_error"], row["m_error"], row["t_error"]) == (0, 0, "#DIV/0!", "#NUM!", "#NUM!")
+
+
+def test_lookup_formulas(spark):
+    t = spark.createDataFrame([(1, "X", 10.0, None), (2, "y", 20.0, "b"), (3, "Y", 15.0, "c"), (4, "5", 40.0, "d")], "pos int, key string, low double, label string")
+    df = spark.createDataFrame([(1, "Y", 16.0), (2, "z", 5.0), (3, "x", 50.0), (4, None, None)], "id int, k string, n double")
+    f = {
+        "exact": "=VLOOKUP(k,t,3,FALSE)", "number": "=VLOOKUP(2+3,t,2,FALSE)", "bad": "=VLOOKUP(k,t,9,FALSE)", "near": "=VLOOKUP(n,t!low:label,1)", "at": "=MATCH(n,t!low,1)", "down": "=MATCH(n,t!low,-1)",
+        "both": '=IFNA(INDEX(t!low,MATCH(k,t!key,0)),-1)', "out": "=INDEX(t,7,1)", "side": '=HLOOKUP("LOW",t,3,FALSE)', "none": '=HLOOKUP("nothing",t,2,FALSE)', "far": '=HLOOKUP("low",t,9,FALSE)', "head": '=HLOOKUP("LOW",t,1,FALSE)', "of": '=HLOOKUP(IF(id=1,"low","key"),t,3,FALSE)', "what": "=VLOOKUP(k,unknown,1)",
+    }
+    got = {r["id"]: r for r in calculated(df, f, errors=True, tables={"t": Table(t, "pos")}).collect()}
+    assert set(got) == {1, 2, 3, 4}
+    see = lambda c: [got[i][c] if got[i][f"{c}_error"] is None else got[i][f"{c}_error"] for i in (1, 2, 3, 4)]
+    assert see("exact") == ["b", "#N/A", None, "#N/A"]
+    assert see("number") == [40.0] * 4
+    assert see("bad") == ["#REF!", "#N/A", "#REF!", "#N/A"]
+    assert see("near") == [10.0, "#N/A", 40.0, "#N/A"]  # for 16 the search ends at 20
+    assert see("at") == [3, "#N/A", 4, "#N/A"]
+    assert see("down") == [4, 4, "#N/A", 4]
+    assert see("both") == [20.0, -1, 10.0, -1]
+    assert see("out") == ["#REF!"] * 4 and see("far") == ["#REF!"] * 4
+    assert see("side") == [20.0] * 4 and see("none") == ["#N/A"] * 4 and see("head") == ["low"] * 4
+    assert see("of") == ["20", "y", "y", "y"]
+    assert see("what") == ["#NAME?"] * 4
