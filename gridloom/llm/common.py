@@ -20,6 +20,10 @@ LOWER_TABLE = {ord(c): c.lower() for c in ASCII_UPPER}
 ARROW_ROWS = 256
 #: A side of a join is broadcast only if it has been counted and holds at most this many rows.
 SMALL_ROWS = 20_000
+#: A key is hot if it holds more than this part of a table's rows, so fewer keys than that can be.
+HOT_KEYS = 1000
+#: Rows that one array of repeats is unfolded into at most.
+REPEATS = 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -94,6 +98,39 @@ def join_small(big: DataFrame, small: DataFrame, keys: list[str], how: str = "le
     return big.join(side, cond, how).select(*big.columns, *more)
 
 
+def join_hot(big: DataFrame, small: DataFrame, key: str, counts: DataFrame | None = None) -> DataFrame:
+    """Inner join of two written tables, the second with a row for each key, both with the column `key`, never null.
+
+    counts: the rows of big by key, as n, if they are known.
+
+    The rows of hot keys meet theirs by a broadcast of fewer than HOT_KEYS rows, whatever the input; the rest are
+    shuffled. So a key with a third of the rows stays dealt out as it was.
+    """
+    least = big.count() // HOT_KEYS
+    counts = big.groupBy(key).agg(F.count("*").alias("n")) if counts is None else counts
+    heavy = written(counts.filter(F.col("n") > least).select(key), "hot-keys")
+    if heavy.isEmpty():
+        return big.join(small, key)
+    heavy = F.broadcast(heavy)
+    hot = F.broadcast(written(small.join(heavy, key, "left_semi"), "hot-rows"))
+    return big.join(hot, key).unionByName(big.join(heavy, key, "left_anti").join(small, key))
+
+
+def repeated(df: DataFrame, times: str, number: str) -> DataFrame:
+    """Each row as often as its column `times` says, with `number` from 1; rows with many repeats are dealt out in parts first."""
+    few = df.filter(F.col(times) <= REPEATS).withColumn(number, F.explode(F.sequence(F.lit(1).cast("long"), F.greatest(F.col(times), F.lit(1).cast("long")))))
+    few = few.filter(F.col(number) <= F.col(times))
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.col(times) - 1, F.lit(REPEATS).cast("long")))
+    many = df.filter(F.col(times) > REPEATS).withColumn("__part", part).repartition("__part")
+    last = F.least(F.col("__part") + REPEATS, F.col(times))
+    return few.unionByName(many.withColumn(number, F.explode(F.sequence(F.col("__part") + 1, last))).drop("__part"))
+
+
+def row_digest(row: str = "row") -> Column:
+    """A digest of a packed row, whatever the types of its columns (hashes of maps aren't allowed)."""
+    return F.sha2(F.to_json(F.col(row)), 256)
+
+
 def packed(df: DataFrame, **more: Column) -> DataFrame:
     """The row as one column, `row`, beside columns of our own: no name of the table can clash with them."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(n) for n, c in more.items()])

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import SPACE_CLASS, join_small, packed, written
+from .common import SPACE_CLASS, join_small, packed, repeated, row_digest, written
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2
@@ -155,8 +155,8 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, copies, source. Cases as copies(); an empty table gives no rows."""
-    c = copies(docs, **how)
-    each = c.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))).alias("k"))
+    c = written(copies(docs, **how), "mix-copies")
+    each = repeated(c, "rows", "k")
     n = F.col("base") + (F.col("k") <= F.col("extra") + F.col("x")).cast("long")
     return each.select("doc_id", "size", "source_size", "target", (n * F.col("size")).alias("taken"), n.alias("copies"), "source")
 
@@ -164,14 +164,34 @@ def mix(docs: DataFrame, **how) -> DataFrame:
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """The mix itself: each row as often as it is taken, with all its columns, in no order.
 
-    Rows of one unit that differ (equal id, source and size, other text) are given their copies by the order of a hash
-    of the whole row.
+    Rows of one unit that differ (equal id, source and size, other text) are given their copies by the order of a digest
+    of the whole row; rows that are alike are counted and unfolded at the end, so they make no hot group.
     """
-    c = copies(docs, id_col, text_col, source_col, **how).select(*KEYS, "rows", "base", "extra", "x")
+    c = written(copies(docs, id_col, text_col, source_col, **how).select(*KEYS, "rows", "base", "extra", "x"), "mix-copies")
     d = packed(docs, s=F.col(source_col).cast("string"), i=F.col(id_col).cast("long"), n=word_count(F.col(text_col)))
     j = d.join(c, F.col("s").eqNullSafe(F.col("source")) & F.col("i").eqNullSafe(F.col("doc_id")) & (F.col("n") == F.col("size")))
-    one = j.filter(F.col("rows") == 1).withColumn("k", F.lit(1))
-    many = j.filter(F.col("rows") > 1).withColumn("k", F.row_number().over(W.partitionBy(*KEYS).orderBy(F.xxhash64("row"))))
-    n = F.col("base") + (F.col("k") <= F.col("extra") + F.col("x")).cast("long")
-    both = one.unionByName(many).filter(n > 0)
-    return both.select("row", F.explode(F.sequence(F.lit(1).cast("long"), n)).alias("copy")).select("row.*")
+    single = j.filter(F.col("rows") == 1).withColumn("copies", F.col("base") + F.col("extra") + F.col("x")).filter("copies > 0")
+    out = single.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+    if not c.filter("rows > 1").isEmpty():
+        out = out.unionByName(repeated(shared_out(j.filter(F.col("rows") > 1)), "copies", "copy").select("row", "copy"))
+    return out.select("row.*")
+
+
+def shared_out(many: DataFrame) -> DataFrame:
+    """row, copies of the units with several rows: each row gets base, and the first extra + x by digest one more.
+
+    The place of a row is that of its digest's bucket, from at most 4,096 sums for a unit, and its place in the bucket.
+    """
+    unit = [*KEYS, "base", "extra", "x"]
+    alike = many.withColumn("digest", row_digest()).groupBy(*unit, "digest").agg(F.count("*").alias("m"), F.first("row").alias("row"))
+    alike = written(alike.withColumn("bucket", F.substring("digest", 1, 3)), "mix-alike")
+    sums = alike.groupBy(*KEYS, "bucket").agg(F.sum("m").alias("c"))
+    so_far = F.sum("c").over(W.partitionBy(*KEYS).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
+    begins = sums.select(*[F.col(k).alias(f"of_{k}") for k in [*KEYS, "bucket"]], F.coalesce(so_far, F.lit(0)).alias("begin"))
+    same = F.lit(True)
+    for k in [*KEYS, "bucket"]:
+        same = same & F.col(k).eqNullSafe(F.col(f"of_{k}"))
+    inside = F.sum("m").over(W.partitionBy(*KEYS, "bucket").orderBy("digest").rowsBetween(W.unboundedPreceding, -1))
+    placed = alike.join(begins, same).withColumn("at", F.col("begin") + F.coalesce(inside, F.lit(0)))
+    more = F.greatest(F.lit(0), F.least(F.col("m"), F.col("extra") + F.col("x") - F.col("at")))
+    return placed.select("row", (F.col("m") * F.col("base") + more).cast("long").alias("copies"))
