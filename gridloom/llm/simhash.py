@@ -14,9 +14,8 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from .common import arrow_batches, packed, written
+from .common import arrow_batches, join_hot, packed, row_digest, written
 
 SHINGLE, SEED = 3, 42
 HALF_VARIANTS = 32
@@ -124,13 +123,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 def with_components(marks: DataFrame) -> DataFrame:
     """doc_id, fp, component_id for a written table of doc_id and fp."""
-    each = written(marks.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    each = written(marks.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-distinct")
     roots = components(links(each.select("fp")))
-    linked = each.join(roots, "fp")
-    lowest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = linked.select("fp", "root").join(lowest, "root").select("fp", "component_id")
+    lowest = each.join(roots, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
+    named = join_hot(roots, written(lowest, "simhash-lowest"), "root").select("fp", "component_id")
     of = each.join(named, "fp", "left").select("fp", F.when(F.col("component_id").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
-    return marks.join(of, "fp").select("doc_id", "fp", "component_id")
+    return join_hot(marks, written(of, "simhash-components"), "fp", each.select("fp", "n")).select("doc_id", "fp", "component_id")
 
 
 def hex64(fp: str) -> Column:
@@ -160,8 +158,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = packed(docs, id=F.col(id_col).cast("long"))
     kept = rows.join(keep.withColumnRenamed("doc_id", "keep_id"), F.col("id") == F.col("keep_id"))
     if not keep.filter("n > 1").isEmpty():
-        by = W.partitionBy("id").orderBy(F.xxhash64("row"))
-        kept = kept.withColumn("k", F.row_number().over(by)).filter("n = 1 or k = 1")
+        again = kept.filter("n > 1").groupBy("id").agg(F.min_by("row", row_digest()).alias("row"))
+        kept = kept.filter("n = 1").select("row").unionByName(again.select("row"))
     kept = kept.select("row")
     nameless = classes.filter("component_id is null").select("fingerprint").distinct()
     if not nameless.isEmpty():

@@ -247,6 +247,16 @@ def test_simhash_links_on_crowded_fingerprints(spark):
     assert rows == linked(dict(enumerate(fps)))
 
 
+def test_simhash_hot_groups(spark):
+    """A group of copies with a third of the rows, and a component with a third of the fingerprints."""
+    random.seed(12)
+    hot = random.getrandbits(62)
+    fps = [hot] * 700 + [hot ^ (1 << a) ^ (1 << b) for a in range(30) for b in range(a)] + [random.getrandbits(63) for _ in range(900)]
+    marks = spark.createDataFrame(list(enumerate(fps)), "doc_id long, fp long")
+    rows = {r["doc_id"]: r["component_id"] for r in simhash.with_components(marks).collect()}
+    assert len(rows) == len(fps) and rows == {i: 0 if i < 700 + 435 else i for i in range(len(fps))}
+
+
 def test_one_of_each(spark):
     items = [(5, "same text here"), (2, "same text here"), (2, "same text here"), (8, "another one entirely"), (None, "same text here"), (None, "lonely text"), (None, "lonely text")]
     assert got(simhash.one_of_each(docs(spark, items)), "doc_id", "text", "fp") == sorted([(2, "same text here", "x"), (8, "another one entirely", "x"), (None, "lonely text", "x")], key=str)
@@ -292,6 +302,25 @@ def test_mixing(spark):
     assert out.columns == df.columns and out.count() == sum(r["copies"] for r in rows)
 
 
+def test_mixing_repeated_rows(spark):
+    """A third of the rows repeat one row, others share id, source and size but not the text; a map column is no obstacle."""
+    items = [(1, "one two three")] * 2500 + [(2, f"x y {i}") for i in range(300)] + [(1000 + i, "a b c d") for i in range(900)]
+    df = spark.createDataFrame([(*i, {"k": 1}) for i in items], "doc_id long, text string, extra map<string,int>").withColumn("source", F.when(F.col("doc_id") == 2, "s").otherwise("t"))
+    rows = mixing.mix(df).collect()
+    want, out = Counter(), mixing.mixed(df)
+    for r in rows:
+        want[r["doc_id"]] += r["copies"]
+    assert out.columns == df.columns and len(rows) == len(items)
+    got_rows = out.groupBy("doc_id", "text").count().collect()
+    have = Counter()
+    for r in got_rows:
+        have[r["doc_id"]] += r["count"]
+    assert have == +want
+    each = {r["text"]: r["count"] for r in got_rows if r["doc_id"] == 2}
+    assert len(each) == 300 and max(each.values()) - min(each.values()) <= 1
+    assert got(mixing.mixed(df.repartition(5)).select("doc_id", "text")) == got(out.select("doc_id", "text"))
+
+
 def test_rounding_goes_up_a_tree(spark):
     pool = spark.range(9000).selectExpr("'s' source", "id doc_id", "id % 50 + 1 size", "1L rows", "0L extra", "0.37D x", "9000L units")
     rows = mixing.round_units(pool, 9000).collect()
