@@ -21,6 +21,8 @@ SHINGLE, SEED = 3, 42
 HALF_VARIANTS = 32
 #: Buckets of more fingerprints than this are linked through words instead of pairs.
 PAIRED = 8
+#: Words of 64 bits in the filter that is broadcast: at most so many rows of two longs, whatever the input.
+FILTER_WORDS = 1 << 18
 #: Shingles hashed at a time, so that a very long text needs bounded memory.
 SLICE = 1 << 16
 
@@ -81,6 +83,18 @@ def near(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= 2
 
 
+def maybe_in(sigs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of sigs whose sig may be among those wanted: all that are, and others by chance.
+
+    A hash of each wanted sig sets a bit, and the words of bits are broadcast. With many more sigs than bits the filter
+    lets most rows through, and the join that follows is as large as without it.
+    """
+    h = F.xxhash64("sig")
+    word, bit = h.bitwiseAND(F.lit(FILTER_WORDS - 1)), F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 58).cast("int"))
+    bits = wanted.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    return sigs.withColumn("word", word).join(F.broadcast(bits), "word").filter(F.col("bits").bitwiseAND(bit) != 0).select(*sigs.columns)
+
+
 def links(fps: DataFrame) -> DataFrame:
     """Links (a, b) that connect all distinct fingerprints within two bits of each other, directly or through others.
 
@@ -90,7 +104,7 @@ def links(fps: DataFrame) -> DataFrame:
     buckets = written(sigs.groupBy("sig").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1"), "simhash-buckets")
     pairs = buckets.filter("n = 2").select("a", "b").filter(near("a", "b")).distinct()
     full = buckets.filter("n > 2").select("sig", "n")
-    members = written(sigs.join(full, "sig").select("sig", "n", "fp"), "simhash-members")
+    members = written(maybe_in(sigs, full).join(full, "sig").select("sig", "n", "fp"), "simhash-members")
     few = members.filter(F.col("n") <= PAIRED).select("sig", "fp")
     other = few.select("sig", F.col("fp").alias("b"))
     met = few.withColumnRenamed("fp", "a").join(other, "sig").filter(F.col("a") < F.col("b")).filter(near("a", "b")).select("a", "b").distinct()
