@@ -29,9 +29,21 @@ ASSIGN_LEAST = 8
 KINDS = ("assign", "access", "hex", "jwt", "pem", "der", "ssh")
 HINTS = ("passw", "secret", "token", "api")
 
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*(?:PRIVATE|PUBLIC) KEY|CERTIFICATE)-----([A-Za-z0-9+/=\s]*?)-----END \1-----")
+PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*(?:PRIVATE|PUBLIC) KEY|CERTIFICATE)-----([A-Za-z0-9+/=\s\\]*+)-----END \1-----")
+#: Line ends and other characters as string literals write them, and blanks.
+ESCAPED = re.compile(r"\\+u([0-9a-fA-F]{4})|\\+[nrt]|\\|\s")
 JWT = re.compile(r"(?<![\w-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
-RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{24,}={0,2}")
+RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}={0,2}")
+HEX_RUN = re.compile(r"[0-9a-fA-F]{24,}")
+#: Where a key can begin in a run: a sequence (0x30 and a length), a short length prefix (0x000000), or openssh-key-v1.
+STARTS = re.compile(r"(?=M[A-I]|AAAA|b3BlbnNza)")
+HEX_STARTS = re.compile(r"(?=30|000000|6[fF]70656[eE]737368)")
+PLAIN = str.maketrans("-_", "+/")
+MAGIC = b"openssh-key-v1\0"
+#: Fields of each type of SSH public key, the type among them.
+SSH_FIELDS = {b"ssh-rsa": 3, b"ssh-dss": 5, b"ssh-ed25519": 2, b"sk-ssh-ed25519@openssh.com": 3, b"sk-ecdsa-sha2-nistp256@openssh.com": 4}
+#: Elements of the longest sequence that a key has on its two outer levels (ten in a certificate), and some more.
+MOST_ITEMS = 16
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 
@@ -60,7 +72,7 @@ def der_items(data: bytes) -> list[tuple[int, bytes]] | None:
     """Tag and content of the elements that use up data exactly, else None."""
     out, i = [], 0
     while i < len(data):
-        if i + 2 > len(data) or data[i] & 0x1F == 0x1F:
+        if len(out) == MOST_ITEMS or i + 2 > len(data) or data[i] & 0x1F == 0x1F:
             return None
         tag, size, i = data[i], data[i + 1], i + 2
         if size & 0x80:
@@ -101,18 +113,87 @@ def der_key(data: bytes) -> bool:
     return tags == [SEQUENCE, SEQUENCE, BITS] and der_items(parts[0][1]) is not None and algorithm(1)
 
 
-def ssh_key(data: bytes) -> bool:
-    """An SSH public key blob (length-prefixed fields, the first a key type, using up all bytes) or a private key file."""
-    if data.startswith(b"openssh-key-v1\0"):
-        return len(data) > 60
-    fields, i = [], 0
-    while i < len(data):
+def der_size(data: bytes) -> int:
+    """Bytes of the sequence that data begins with, 0 if there is none or it is cut off."""
+    if len(data) < 2 or data[0] != SEQUENCE:
+        return 0
+    size, i = data[1], 2
+    if size & 0x80:
+        k = size & 0x7F
+        if not 1 <= k <= 4 or i + k > len(data):
+            return 0
+        size, i = int.from_bytes(data[i : i + k], "big"), i + k
+    return i + size if i + size <= len(data) else 0
+
+
+def ssh_size(data: bytes) -> int:
+    """Bytes of the SSH public key blob (length-prefixed fields, the first a key type) or private key file that data begins with, else 0."""
+    if bytes(data[: len(MAGIC)]) == MAGIC:
+        return len(data) if len(data) > 60 else 0
+    count, most, i = 0, None, 0
+    while i < len(data) and count != most:
         size = int.from_bytes(data[i : i + 4], "big")
         if i + 4 + size > len(data):
-            return False
-        fields.append(data[i + 4 : i + 4 + size])
-        i += 4 + size
-    return len(fields) >= 2 and re.fullmatch(rb"(ssh-(rsa|dss|ed25519)|ecdsa-sha2-nistp\d{3}|sk-[a-z0-9-]+@openssh\.com)", fields[0]) is not None
+            return 0
+        if not count:
+            name = bytes(data[i + 4 : i + 4 + min(size, 64)])
+            if not re.fullmatch(rb"(ssh-(rsa|dss|ed25519)|ecdsa-sha2-nistp\d{3}|sk-[a-z0-9-]+@openssh\.com)", name):
+                return 0
+            most = SSH_FIELDS.get(name, 3 if name.startswith(b"ecdsa") else None)
+        count, i = count + 1, i + 4 + size
+    return i if count >= 2 else 0
+
+
+def ssh_key(data: bytes) -> bool:
+    """An SSH key that uses up all bytes."""
+    return bool(data) and ssh_size(data) == len(data)
+
+
+def key_at(data: bytes) -> tuple[str, int] | None:
+    """The kind and bytes of the key that data begins with."""
+    if (size := der_size(data)) and der_key(data[:size]):
+        return "der", size
+    return ("ssh", size) if (size := ssh_size(data)) else None
+
+
+def keys_in(body: str, starts: re.Pattern, units: int, octets: int, decode: Callable[[str], bytes]) -> list[tuple[int, int, str]]:
+    """Keys in a run whose every `units` characters hold `octets` bytes, tried at each place where one can begin.
+
+    A key says its own length, so characters before and after it are no obstacle. Each alignment is decoded once.
+    """
+    found, aligned, end = [], {}, 0
+    for p in (m.start() for m in starts.finditer(body)):
+        if p < end:
+            continue
+        shift = p % units
+        if shift not in aligned:
+            aligned[shift] = memoryview(decode(body[shift:]))
+        if got := key_at(aligned[shift][(p - shift) // units * octets :]):
+            end = p - (-got[1] * units // octets)
+            found.append((p, end, got[0]))
+    return found
+
+
+def whole_base64(s: str) -> bytes:
+    """What s holds, without a last character that is no byte."""
+    return from_base64(s[:-1] if len(s) % 4 == 1 else s) or b""
+
+
+def run_keys(run: str) -> list[tuple[int, int, str]]:
+    """Keys in a run of base64 or hex, each with the padding that belongs to it."""
+    body = run.rstrip("=").translate(PLAIN)
+    found = []
+    for a, b, kind in keys_in(body, STARTS, 4, 3, whole_base64):
+        pad = re.match("={0,%d}" % (-(b - a) % 4), run[b : b + 2])
+        found.append((a, b + len(pad[0]), kind))
+    for m in HEX_RUN.finditer(body):
+        more = keys_in(m[0], HEX_STARTS, 2, 1, lambda s: bytes.fromhex(s[: len(s) // 2 * 2]))
+        found += [(m.start() + a, m.start() + b, k) for a, b, k in more if all(m.start() + b <= x or m.start() + a >= y for x, y, _ in found)]
+    return found
+
+
+def unescaped(m: re.Match) -> str:
+    return chr(int(m[1], 16)).strip() if m[1] else ""
 
 
 def json_object(part: str) -> dict | None:
@@ -127,7 +208,7 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     found, pems = [], []
     if "-----BEGIN " in text:
         for m in PEM.finditer(text):
-            data = from_base64(re.sub(r"\s", "", m[2]))
+            data = from_base64(ESCAPED.sub(unescaped, m[2]))
             if data and (der_key(data) or ssh_key(data)):
                 pems.append(m.span())
                 found.append((*m.span(), "pem"))
@@ -137,14 +218,8 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
             if "alg" in (json_object(head) or {}) and json_object(body) is not None:
                 found.append((*m.span(), "jwt"))
     for m in RUN.finditer(text):
-        s = m[0]
-        inside = any(a <= m.start() < b for a, b in pems)
-        if inside or not (s[0] in "MA" or s[0] in "03" and re.fullmatch("[0-9a-fA-F]+", s)):
-            continue  # a sequence (0x30) encodes as M or 30, a short length prefix (0x000000) as AAAA or 000000
-        for data in (from_base64(s), bytes.fromhex(s) if len(s) % 2 == 0 and re.fullmatch("[0-9a-fA-F]+", s) else None):
-            if data and (kind := "der" if der_key(data) else "ssh" if ssh_key(data) else None):
-                found.append((*m.span(), kind))
-                break
+        if not any(a <= m.start() < b for a, b in pems):
+            found += [(m.start() + a, m.start() + b, k) for a, b, k in run_keys(m[0])]
     return found
 
 

@@ -77,6 +77,27 @@ def test_secrets():
     assert "hunter" not in secrets.mask(text) and secrets.mask(None) is None
 
 
+def test_keys_inside_runs():
+    """Keys behind an equals sign, inside longer runs, in hex with a prefix and in PEM with escaped line ends."""
+    oid = der(0x30, der(6, b"\x2a\x86\x48\x86\xf7\x0d\x01\x01\x01") + der(5, b""))
+    ssh = base64.b64encode(struct.pack(">I", 11) + b"ssh-ed25519" + struct.pack(">I", 32) + bytes(32)).decode()
+    for n in (40, 41, 42, 300):
+        pkcs8 = der(0x30, der(2, b"\0") + oid + der(4, bytes(random.Random(n).randbytes(n))))
+        b64, url = base64.b64encode(pkcs8).decode(), base64.urlsafe_b64encode(pkcs8).decode()
+        for key in (b64, b64.rstrip("="), url):
+            for lead in ("", "signing_key=", "x-", "/etc/", "\\n", "_", "abcde", "MIIE", "A"):
+                assert secrets.confirmed_spans(f"é {lead}{key} end") == [(2 + len(lead), 2 + len(lead) + len(key), "der")], (n, lead)
+        assert secrets.confirmed_spans(f"a/{b64.rstrip('=')}-tail/of/a/path") == [(2, 2 + len(b64.rstrip("=")), "der")]
+        assert [k for *_, k in secrets.confirmed_spans(f"K={b64.rstrip('=')}/{ssh.rstrip('=')}")] == ["der", "ssh"]
+        for lead in ("0x", "k", "f", "ff", "h="):
+            assert secrets.confirmed_spans(lead + pkcs8.hex()) == [(len(lead), len(lead) + 2 * len(pkcs8), "der")], lead
+        assert not secrets.confirmed_spans("x-" + base64.b64encode(pkcs8[:-1]).decode())
+        lines = "\n".join(b64[i : i + 64] for i in range(0, len(b64), 64))
+        pem = f"-----BEGIN PRIVATE KEY-----\n{lines}\n-----END PRIVATE KEY-----\n"
+        for text in (json.dumps({"private_key": pem}), json.dumps(json.dumps({"k": pem})), json.dumps({"k": pem}).replace("/", "\\/").replace("+", "\\u002b"), json.dumps({"k": pem.replace("\n", "\r\n")}), pem):
+            assert [k for *_, k in secrets.confirmed_spans(text)] == ["pem"] and b64[:60] not in secrets.mask(text)
+
+
 def test_secret_scan_and_mask(spark):
     df = docs(spark, [(1, 'token = "0123456789abcdef0123456789abcdef"'), (2, None)])
     spans = "assign:0:41,hex:9:41"
