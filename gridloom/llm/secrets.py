@@ -29,7 +29,9 @@ ASSIGN_LEAST = 8
 KINDS = ("assign", "access", "hex", "jwt", "pem", "der", "ssh")
 HINTS = ("passw", "secret", "token", "api")
 
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*(?:PRIVATE|PUBLIC) KEY|CERTIFICATE)-----([A-Za-z0-9+/=\s\\]*+)-----END \1-----")
+PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*(?:PRIVATE|PUBLIC) KEY|CERTIFICATE)-----((?:(?:\s|\\+[nrt])*+[A-Z][A-Za-z0-9-]*+:[^\n\r\\]*+)*+)([A-Za-z0-9+/=\s\\]*+)-----END \1-----")
+#: The header of an encrypted PEM body: a cipher, and its first block in hex.
+DEK_INFO = re.compile(r"DEK-Info:\x20*([A-Z0-9-]+),\x20*((?:[0-9A-Fa-f]{16}){1,2})(?![0-9A-Fa-f])")
 #: Line ends and other characters as string literals write them, and blanks.
 ESCAPED = re.compile(r"\\+u([0-9a-fA-F]{4})|\\+[nrt]|\\|\s")
 JWT = re.compile(r"(?<![\w-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
@@ -93,7 +95,7 @@ SEQUENCE, INTEGER, BITS, OCTETS, OBJECT = 0x30, 0x02, 0x03, 0x04, 0x06
 
 
 def der_key(data: bytes) -> bool:
-    """A key or certificate: one sequence, whose parts are those of PKCS#1, PKCS#8, SEC1, a public key or X.509."""
+    """A key or certificate: one sequence, whose parts are those of PKCS#1, DSA, PKCS#8 (encrypted or not), SEC1, a public key or X.509."""
     outer = der_items(data)
     if not outer or len(outer) != 1 or outer[0][0] != SEQUENCE:
         return False
@@ -104,9 +106,9 @@ def der_key(data: bytes) -> bool:
     algorithm = lambda k: (x := der_items(parts[k][1])) is not None and bool(x) and x[0][0] == OBJECT
     if tags[:3] == [INTEGER, SEQUENCE, OCTETS]:
         return algorithm(1)
-    if tags[:2] == [SEQUENCE, BITS] and len(tags) == 2:
+    if tags in ([SEQUENCE, BITS], [SEQUENCE, OCTETS]):
         return algorithm(0)
-    if tags == [INTEGER] * 9 or tags == [INTEGER] * 2 and len(parts[0][1]) >= 64:
+    if tags in ([INTEGER] * 9, [INTEGER] * 6) or tags == [INTEGER] * 2 and len(parts[0][1]) >= 64:
         return True
     if tags[:2] == [INTEGER, OCTETS] and len(parts[1][1]) in (28, 32, 48, 66):
         return True
@@ -126,10 +128,35 @@ def der_size(data: bytes) -> int:
     return i + size if i + size <= len(data) else 0
 
 
+def openssh_size(data: bytes) -> int:
+    """Bytes of the private key file that data begins with: its names, its public keys and its private part, else 0."""
+
+    def field(i: int) -> tuple[bytes, int]:
+        size = int.from_bytes(data[i : i + 4], "big")
+        if i + 4 + size > len(data):
+            raise ValueError("a field is cut off")
+        return data[i + 4 : i + 4 + size], i + 4 + size
+
+    try:
+        cipher, i = field(len(MAGIC))
+        _, i = field(i)
+        _, i = field(i)
+        count, i = int.from_bytes(data[i : i + 4], "big"), i + 4
+        for _ in range(count):
+            public, i = field(i)
+            if not ssh_key(public):
+                return 0
+        private, i = field(i)
+    except ValueError:
+        return 0
+    tag = 16 if re.search(b"gcm|poly1305", bytes(cipher[:64])) else 0
+    return i + tag if count and len(private) >= 8 and len(private) % 8 == 0 and i + tag <= len(data) else 0
+
+
 def ssh_size(data: bytes) -> int:
     """Bytes of the SSH public key blob (length-prefixed fields, the first a key type) or private key file that data begins with, else 0."""
     if bytes(data[: len(MAGIC)]) == MAGIC:
-        return len(data) if len(data) > 60 else 0
+        return openssh_size(data)
     count, most, i = 0, None, 0
     while i < len(data) and count != most:
         size = int.from_bytes(data[i : i + 4], "big")
@@ -208,8 +235,9 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     found, pems = [], []
     if "-----BEGIN " in text:
         for m in PEM.finditer(text):
-            data = from_base64(ESCAPED.sub(unescaped, m[2]))
-            if data and (der_key(data) or ssh_key(data)):
+            data = from_base64(ESCAPED.sub(unescaped, m[3]))
+            sealed = DEK_INFO.search(m[2])
+            if data and (len(data) % (len(sealed[2]) // 2) == 0 if sealed else der_key(data) or ssh_key(data)):
                 pems.append(m.span())
                 found.append((*m.span(), "pem"))
     if "eyJ" in text:

@@ -98,6 +98,32 @@ def test_keys_inside_runs():
             assert [k for *_, k in secrets.confirmed_spans(text)] == ["pem"] and b64[:60] not in secrets.mask(text)
 
 
+def test_key_encodings():
+    """Encrypted PKCS#8, DSA, PEM with header lines, and private SSH files whose fields fill them."""
+    rnd = random.Random(13)
+    pem = lambda label, data, head="": f"-----BEGIN {label}-----\n{head}{base64.encodebytes(data).decode()}-----END {label}-----"
+    kinds = lambda t: [k for *_, k in secrets.confirmed_spans(t)]
+    field = lambda b: struct.pack(">I", len(b)) + b
+    pbes2 = der(0x30, der(6, b"\x2a\x86\x48\x86\xf7\x0d\x01\x05\x0d") + der(0x30, der(4, bytes(8))))
+    sealed = der(0x30, pbes2 + der(4, rnd.randbytes(128)))
+    dsa = der(0x30, der(2, b"\0") + b"".join(der(2, b"\x01" + rnd.randbytes(k)) for k in (128, 20, 128, 128, 20)))
+    for label, data in (("ENCRYPTED PRIVATE KEY", sealed), ("DSA PRIVATE KEY", dsa)):
+        b64 = base64.b64encode(data).decode()
+        assert kinds(pem(label, data)) == ["pem"] and kinds(f"k={b64}") == ["der"] and kinds(json.dumps(pem(label, data))) == ["pem"]
+        assert not kinds(pem(label, data[:-1])) and not kinds(base64.b64encode(data[:-1]).decode())
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF\n\n"
+    for text in (pem("RSA PRIVATE KEY", rnd.randbytes(320), head), pem("DSA PRIVATE KEY", dsa, "Comment: mine\n\n")):
+        assert kinds(text) == ["pem"] and kinds(json.dumps({"k": text})) == ["pem"] and secrets.mask(f"a {text} b") == "a [pem] b"
+    assert not kinds(pem("RSA PRIVATE KEY", rnd.randbytes(321), head))
+    public = field(b"ssh-ed25519") + field(rnd.randbytes(32))
+    for cipher, tag in ((b"none", 0), (b"aes256-gcm@openssh.com", 16)):
+        key = b"openssh-key-v1\0" + field(cipher) + field(b"none") + field(b"") + struct.pack(">I", 1) + field(public) + field(rnd.randbytes(144)) + bytes(tag)
+        b64 = base64.b64encode(key).decode().rstrip("=")
+        assert kinds(pem("OPENSSH PRIVATE KEY", key)) == ["pem"] and kinds(f"x={b64}") == kinds(key.hex()) == ["ssh"]
+        assert not kinds(pem("OPENSSH PRIVATE KEY", key[:-1])) and not kinds(pem("OPENSSH PRIVATE KEY", key + b"\0"))
+    assert not kinds(base64.b64encode(b"openssh-key-v1\0" + bytes(80)).decode())
+
+
 def test_secret_scan_and_mask(spark):
     df = docs(spark, [(1, 'token = "0123456789abcdef0123456789abcdef"'), (2, None)])
     spans = "assign:0:41,hex:9:41"
