@@ -86,11 +86,11 @@ def split_by_ranges(pages: DataFrame, page: str, ranges: list[tuple[int, int]])
 
 
 def reordered(pages: DataFrame, page: str, order: list[int], by: list[str] | None = None) -> DataFrame:
-    """Pages in a new order, which must be a permutation of 1 to n; new_page is each one's place."""
+    """Pages in a new order, which must be a permutation of 1 to n; new_page is each one's place, for pages past n their own."""
     if sorted(order) != list(range(1, len(order) + 1)):
         raise ValueError("the order must name each page once")
     place = F.create_map(*[F.lit(x) for k, p in enumerate(order, 1) for x in (p, k)])
-    return pages.withColumn("new_page", F.try_element_at(place, F.col(page).cast("int")).cast("long")).filter("new_page is not null")
+    return pages.withColumn("new_page", F.coalesce(F.try_element_at(place, F.col(page).cast("int")), F.col(page)).cast("long"))
 
 
 def deleted(pages: DataFrame, page: str, gone: list[int], by: list[str]) -> DataFrame:

@@ -283,7 +283,7 @@ def doc_split(spark, d):
 
 @query("SELECT conv_id, turn + 1 AS page, CAST(CASE turn + 1 WHEN 2 THEN 1 WHEN 1 THEN 2 WHEN 3 THEN 3 END AS BIGINT) AS new_page FROM conversations WHERE turn < 3")
 def doc_reorder(spark, d):
-    return docs.reordered(table(spark, d, "conversations").select("conv_id", (F.col("turn") + 1).alias("page")), "page", [2, 1, 3])
+    return docs.reordered(table(spark, d, "conversations").filter("turn < 3").select("conv_id", (F.col("turn") + 1).alias("page")), "page", [2, 1, 3])
 
 
 @query("SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS turn FROM conversations WHERE turn <> 0")

@@ -67,6 +67,11 @@ def test_pivot(spark):
     assert rows(pivot.with_totals(df, {"Amount": "sum"}, "Region").filter("is_total")) == [("Total", None, 700.0, True)]
 
 
+def test_reordered_keeps_pages_past_the_order(spark):
+    pages = spark.createDataFrame([(d, p) for d in "ab" for p in range(1, 6)], "doc string, page int")
+    assert rows(docs.reordered(pages, "page", [2, 1, 3])) == [(d, p, {1: 2, 2: 1}.get(p, p)) for d in "ab" for p in range(1, 6)]
+
+
 def test_documents(spark):
     df = spark.createDataFrame([(1, "aaa bb"), (2, None), (3, "")], "id int, t string")
     assert rows(docs.find_replace(df, "t", "a", "aa")) == [(1, "aaaaaa bb", 3), (2, None, 0), (3, "", 0)]
