@@ -135,20 +135,27 @@ def components(edges: DataFrame) -> DataFrame:
             return roots
 
 
-def with_components(marks: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id for a written table of doc_id and fp."""
+def with_components(marks: DataFrame, with_root: bool = False) -> DataFrame:
+    """doc_id, fp, component_id for a written table of doc_id and fp; with_root adds the component's smallest fingerprint."""
+    more = ["root"] if with_root else []
     each = written(marks.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-distinct")
     roots = components(links(each.select("fp")))
     lowest = each.join(roots, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
-    named = join_hot(roots, written(lowest, "simhash-lowest"), "root").select("fp", "component_id")
-    of = each.join(named, "fp", "left").select("fp", F.when(F.col("component_id").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
-    return join_hot(marks, written(of, "simhash-components"), "fp", each.select("fp", "n")).select("doc_id", "fp", "component_id")
+    named = join_hot(roots, written(lowest, "simhash-lowest"), "root").select("fp", "component_id", *more)
+    of = each.join(named, "fp", "left").select("fp", F.when(F.col("component_id").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"), *[F.coalesce("root", "fp").alias("root") for _ in more])
+    return join_hot(marks, written(of, "simhash-components"), "fp", each.select("fp", "n")).select("doc_id", "fp", "component_id", *more)
 
 
 def hex64(fp: str) -> Column:
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
 
 
+def marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id and fp of each row, written."""
+    arrow_batches(docs.sparkSession)
+    return written(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprint_column(F.col(text_col)).alias("fp")), "simhash-marks")
+
+
 def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, fingerprint, component_id (the smallest id that is reachable through links).
 
@@ -156,29 +163,30 @@ def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component unless all ids there are null; repeated rows each get their row; other columns are ignored; an empty
     table gives no rows.
     """
-    arrow_batches(docs.sparkSession)
-    marks = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprint_column(F.col(text_col)).alias("fp")), "simhash-marks")
-    return with_components(marks).select("doc_id", hex64("fp").alias("fingerprint"), "component_id")
+    return with_components(marked(docs, id_col, text_col)).select("doc_id", hex64("fp").alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows whose id names their component: one document of each group, with all its columns.
 
-    Of rows that repeat such an id one stays. A row without an id stays only if no row of its component has one, and
+    Of rows that repeat such an id one stays for each component that it names. A row without an id stays only if no row of its component has one, and
     then one such row for each text does.
     """
-    classes = written(simhash_classes(docs, id_col, text_col), "simhash-classes")
-    keep = classes.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("n"))
+    classes = written(with_components(marked(docs, id_col, text_col), with_root=True), "simhash-classes")
+    names = F.col("doc_id") == F.col("component_id")
+    keep = classes.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(names).alias("naming")).filter("naming > 0").select("doc_id", "n")
     rows = packed(docs, id=F.col(id_col).cast("long"))
     kept = rows.join(keep.withColumnRenamed("doc_id", "keep_id"), F.col("id") == F.col("keep_id"))
     if not keep.filter("n > 1").isEmpty():
-        again = kept.filter("n > 1").groupBy("id").agg(F.min_by("row", row_digest()).alias("row"))
+        first = classes.filter(names).select("doc_id", F.col("fp").alias("first_fp"), "root").distinct()
+        again = kept.filter("n > 1").select("id", "row", fingerprint_column(F.col(f"row.`{text_col}`")).alias("fp"))
+        again = again.join(first, (F.col("id") == F.col("doc_id")) & (F.col("fp") == F.col("first_fp"))).groupBy("id", "root").agg(F.min_by("row", row_digest()).alias("row"))
         kept = kept.filter("n = 1").select("row").unionByName(again.select("row"))
     kept = kept.select("row")
-    nameless = classes.filter("component_id is null").select("fingerprint").distinct()
+    nameless = classes.filter("component_id is null").select(F.col("fp").alias("nameless_fp")).distinct()
     if not nameless.isEmpty():
         arrow_batches(docs.sparkSession)
         rows = packed(docs.filter(F.col(id_col).isNull()), text=F.col(text_col)).withColumn("fp", fingerprint_column(F.col("text")))
-        rows = rows.join(nameless, hex64("fp") == F.col("fingerprint"), "left_semi")
+        rows = rows.join(nameless, F.col("fp") == F.col("nameless_fp"), "left_semi")
         kept = kept.unionByName(rows.dropDuplicates(["text"]).select("row"))
     return kept.select("row.*")

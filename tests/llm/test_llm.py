@@ -309,6 +309,13 @@ def test_one_of_each(spark):
     assert got(simhash.one_of_each(docs(spark, items)), "doc_id", "text", "fp") == sorted([(2, "same text here", "x"), (8, "another one entirely", "x"), (None, "lonely text", "x")], key=str)
 
 
+def test_one_of_each_component_of_a_repeated_id(spark):
+    """An id may name two components, or one and stand in another."""
+    a, b, c, d = ("alpha beta gamma delta", "one two three four five", "red green blue white", "north south east west up")
+    items = [(5, a), (5, b), (5, b), (9, a), (7, b), (3, c), (6, c), (6, d), (8, d)]
+    assert got(simhash.one_of_each(docs(spark, items)), "doc_id", "text") == sorted([(5, a), (5, b), (3, c), (6, d)], key=str)
+
+
 # 9
 def shares(sizes, weights=(5, 2, 1)):
     """Targets by resharing round by round."""
