@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import arrow_batches, map_rows, packed
 
 BINS = 1 << 15
-#: Bounds of the fit: rows in the sample, and labels that are learned (the most frequent ones).
+#: Bounds of the fit: rows in the sample, and labels; a table with more labels is an error.
 MOST_ROWS, MOST_LABELS = 3000, 200
 ALPHA, BETA, L1, L2, EPOCHS = 2.0, 1.0, 0.02, 0.001, 3
 UNKNOWN = "und"
@@ -180,7 +180,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Learns from the labelled rows outside the held-out fold; without any, a model that knows no label."""
     arrow_batches(docs.sparkSession)
     rows = training_rows(docs, id_col, text_col, lang_col)
-    counts = [(r["lang"], r["count"]) for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LABELS).collect()]
+    counts = [(r["lang"], r["count"]) for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LABELS + 1).collect()]
+    if len(counts) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} languages: rows of those that aren't learned would be named as others")
     if not counts:
         return Model([], np.ones(BINS, np.float32), np.zeros((0, BINS), np.float32), np.zeros(0))
     total, df = document_frequencies(rows)

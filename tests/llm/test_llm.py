@@ -215,6 +215,15 @@ def test_language_id(spark):
     assert all(r["lang_pred"] == "und" for r in langid.identify(docs(spark, [(1, "abc")])).collect())
 
 
+def test_language_id_leaves_no_language_out(spark):
+    """As many labels as the bound are all learned; with one more the fit is refused."""
+    items = [(i, chr(0x4E00 + i) * 3, f"l{i:03}", None) for i in range(1, 400) if zlib.crc32(str(i).encode()) % 5]
+    most = langid.MOST_LABELS
+    assert len(langid.train(docs(spark, items[:most])).labels) == most
+    with pytest.raises(ValueError, match="languages"):
+        langid.train(docs(spark, items[: most + 1]))
+
+
 # 7
 def test_quality_counts(spark):
     random.seed(7)
