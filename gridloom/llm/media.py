@@ -11,6 +11,7 @@ import re
 import struct
 import zlib
 from collections.abc import Callable
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -94,8 +95,30 @@ def bmp(b: bytes, at: int) -> int:
 
 
 def pdf(b: bytes, at: int) -> int:
-    end = b.find(b"%%EOF", at)
-    return end + 5 - at if re.match(rb"%PDF-[12]\.\d[\r\n]", b[at : at + 9]) and 0 <= b.find(b"startxref", at) < end else 0
+    if not re.match(rb"%PDF-[12]\.\d[\r\n]", b[at : at + 9]):
+        return 0
+    last, seen = 0, {0}
+    for end, start in pdf_ends(b):  # each save names cross-references of its own; a copy that follows names the same place
+        if end > at and start not in seen and re.match(rb"xref|\d+\s+\d+\s+obj", b[at + start : min(end, at + start + 24)]):
+            last = end
+            seen.add(start)
+    if last:
+        return last - at
+    begin = b.find(b"startxref", at)
+    end = b.find(b"%%EOF", begin) if begin >= 0 else -1
+    return end + 5 - at if end >= 0 else 0
+
+
+@lru_cache(maxsize=1)
+def pdf_ends(b: bytes) -> list[tuple[int, int]]:
+    """Where each trailer of b ends, and the place of the cross-references that it names."""
+    return [(m.end(), int(m[1])) for m in re.finditer(rb"startxref\s+(\d{1,10})\s+%%EOF", b)]
+
+
+@lru_cache(maxsize=1)
+def zip_ends(b: bytes) -> list[int]:
+    """Where the end-of-central-directory records of b begin."""
+    return [m.start() for m in re.finditer(rb"PK\x05\x06", b)]
 
 
 def gzip(b: bytes, at: int) -> int:
@@ -112,12 +135,16 @@ def gzip(b: bytes, at: int) -> int:
 
 
 def zip_(b: bytes, at: int) -> int:
-    end = b.find(b"PK\x05\x06", at)
-    if end < 0 or end + 22 > len(b):
-        return 0
-    size, start = u32(b, end + 12), u32(b, end + 16)
-    tail = end + 22 + int.from_bytes(b[end + 20 : end + 22], "little")
-    return tail - at if start + size == end - at and b[at + start : at + start + 4] == b"PK\x01\x02" and tail <= len(b) else 0
+    for end in reversed(zip_ends(b)):  # the last record whose directory ends at it
+        if end <= at:
+            break
+        if end + 22 > len(b):
+            continue
+        size, start = u32(b, end + 12), u32(b, end + 16)
+        tail = end + 22 + int.from_bytes(b[end + 20 : end + 22], "little")
+        if start + size == end - at and b[at + start : at + start + 4] == b"PK\x01\x02" and tail <= len(b):
+            return tail - at
+    return 0
 
 
 # Magic bytes, the type they stand for, and its validator.
@@ -198,14 +225,14 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def sniffed(media: DataFrame, media_col: str = "media", declared_col: str = "declared_type") -> DataFrame:
-    """Adds detected_type, corrected_type and carved items to any table of media.
+    """Adds detected_type, detected_bytes, corrected_type and carved items to any table of media.
 
     A null or empty media, or one that no validator confirms, has a null detected type, keeps its declared type and
     carves what stands inside. All input columns stay; a clashing name is replaced.
     """
     arrow_batches(media.sparkSession, 128)
-    new = "detected_type string, corrected_type string, carved array<struct<offset:long,length:long,type:string>>"
-    names = {f.split()[0] for f in ("detected_type", "corrected_type", "carved")}
+    new = "detected_type string, detected_bytes long, corrected_type string, carved array<struct<offset:long,length:long,type:string>>"
+    names = {f.split()[0] for f in ("detected_type", "detected_bytes", "corrected_type", "carved")}
     base = media.select(*[c for c in media.columns if c not in names])
     schema = arrow_schema(media.sparkSession, base._jdf.schema().toDDL() + ", " + new)
 
@@ -215,8 +242,8 @@ def sniffed(media: DataFrame, media_col: str = "media", declared_col: str = "dec
             out = []
             for b, declared in zip(batch.column(batch.schema.get_field_index(media_col)).to_pylist(), batch.column(batch.schema.get_field_index(declared_col)).to_pylist(), strict=True):
                 items = sniff(b or b"")
-                found = items[0][2] if items and items[0][0] == 0 else None
-                out.append((found, found or declared, [{"offset": a, "length": n, "type": t} for a, n, t in items if a]))
+                size, found = items[0][1:] if items and items[0][0] == 0 else (0, None)
+                out.append((found, size, found or declared, [{"offset": a, "length": n, "type": t} for a, n, t in items if a]))
             if out:
                 cols = [pa.array(c, type=schema.field(batch.num_columns + k).type) for k, c in enumerate(zip(*out, strict=True))]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *cols], schema=schema)
@@ -225,26 +252,19 @@ def sniffed(media: DataFrame, media_col: str = "media", declared_col: str = "dec
 
 
 def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Stores each text as 8-bit samples, reads the stored bytes back and describes them.
+    """Stores each text as 8-bit samples, sniffs the stored bytes, reads them back and describes them.
 
     Null and empty texts are 64 zero bytes; a null id stays null; repeated rows each get their row; equal texts have
-    equal values. The feature names the validated type, its length, and what is carved from inside. No shuffle.
+    equal values. The feature names the corrected type, its validated length, and what is carved from inside. No shuffle.
     """
 
     def start() -> Callable[..., tuple]:
-        sniff = Sniffer()
-
-        def one(key, text):
-            n, payload = padded(text)
-            media = to_wav(payload)
-            del payload
-            items = sniff(media)
+        def one(key, n, media, kind, size, carved):
             back = from_wav(media)
-            kind = items[0][2] if items and items[0][0] == 0 else "unknown"
-            inner = ";".join(f"{t}@{a}+{m}" for a, m, t in items if a)
-            feature = f"{kind}:{items[0][1] if kind != 'unknown' else 0}:{inner}"
-            return key, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), feature
+            inner = ";".join(f"{x['type']}@{x['offset']}+{x['length']}" for x in carved)
+            return key, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), f"{kind}:{size}:{inner}"
 
         return one
 
-    return map_rows(docs, [F.col(id_col).cast("long"), F.col(text_col)], SCHEMA, start)
+    rows = sniffed(store_texts(docs, id_col, text_col))
+    return map_rows(rows, [F.col(c) for c in ("doc_id", "n_bytes", "media", "corrected_type", "detected_bytes", "carved")], SCHEMA, start, rows=128)

@@ -148,6 +148,38 @@ def test_media(spark):
     assert (row["n_bytes"], row["payload_bytes"], row["payload_sha256"], row["tail_crc32"]) == (2, 64, hashlib.sha256(data).hexdigest(), zlib.crc32(data))
 
 
+def test_media_items_end_at_their_last_trailer(spark):
+    """Saved-again and linearised PDFs, an archive in an archive, and op3's feature from the sniffed rows."""
+    import io
+    import zipfile
+
+    def pdf(first):
+        body = b"%PDF-1.4\n" + (b"startxref\n0\n%%EOF\n" if first else b"")
+        for _ in range(2):
+            body += b"1 0 obj\nendobj\n"
+            body += b"xref\n0 1\ntrailer\nstartxref\n%d\n%%%%EOF" % len(body) + b"\n"
+        return body[:-1]
+
+    def archive(name, data):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr(name, data)
+        return out.getvalue()
+
+    sniff, inner = media.Sniffer(), archive("a", b"text")
+    outer = archive("b.zip", inner)
+    early = b"%PDF-1.4\n%%EOF\n" + b"1 0 obj\nstartxref\n9\n%%EOF"
+    items = [(pdf(False), "application/pdf"), (pdf(True), "application/pdf"), (outer, "application/zip"), (early, "application/pdf")]
+    for data, kind in items:
+        assert sniff(b"junk" + data + b"tail") == [(4, len(data), kind)]
+        assert sniff(b"junk" + data + b" " + data) == [(4, len(data), kind), (5 + len(data), len(data), kind)]
+    text = "x" + pdf(True).decode()
+    row = media.media_features(docs(spark, [(1, text)])).first()
+    stored = media.sniffed(media.store_texts(docs(spark, [(1, text)])).withColumn("declared_type", F.lit("x/y"))).first()
+    assert stored["corrected_type"] == "audio/wav" and stored["detected_bytes"] == row["media_bytes"] == len(stored["media"])
+    assert row["feature"] == f"audio/wav:{row['media_bytes']}:application/pdf@45+{len(pdf(True))}"
+
+
 # 4
 def test_warc(spark):
     pages = [(5, "http://a/ b\n", "same"), (2, None, "same"), (9, "u", "other"), (7, "v", None), (8, "w", ""), (None, "n", "same"), (9, "u", "other"), (3, "é", "same" * 3000)]
