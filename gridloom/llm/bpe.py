@@ -4,6 +4,10 @@ A word's parts and the ranks of its adjacent parts lie in two short arrays. The
 boundary is deleted, and the ranks of the two neighbouring pairs are refreshed, until none can merge. The new words of
 a batch do so together, one word to a row of two matrices, and rows that are done leave. Words longer than LONG symbols
 find the minimum through a heap instead, so a run of a million letters isn't quadratic.
+
+What a letter, a digit or a blank is, how characters compose and what their lower case is, depends on the version of
+Unicode. Beyond ASCII the vocabulary file's own normaliser and pre-tokenizer decide, as the tokenizers library runs them;
+merging and decoding are done here.
 """
 
 from __future__ import annotations
@@ -13,15 +17,13 @@ import heapq
 import json
 import re
 import struct
-import unicodedata
 from collections.abc import Callable
 
 import numpy as np
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, map_rows
+from .common import Memo, file_broadcast, map_rows
 
 #: Symbols of the longest word that is merged by scanning.
 LONG = 64
@@ -42,9 +44,16 @@ def byte_letters() -> list[str]:
 class WordBPE:
     """A tokenizers BPE file with word ends: NFC, white space collapsed, lower case, split by pattern, byte letters."""
 
-    def __init__(self, path: str, most_cached: int = 200_000):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def __init__(self, file: str | bytes, most_cached: int = 200_000):
+        """file: the path of a vocabulary, or its bytes."""
+        import tokenizers
+
+        if isinstance(file, str):
+            with open(file, "rb") as f:
+                file = f.read()
+        spec = json.loads(file)
+        library = tokenizers.Tokenizer.from_str(json.dumps(spec | {"model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": []}))
+        self.normalize, self.pre_tokenize = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.ranks = {}
@@ -53,10 +62,12 @@ class WordBPE:
         self.end = model.get("end_of_word_suffix") or ""
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token = {i: t for t, i in (self.vocab | self.added).items()}
-        split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.split = regex.compile(split.replace(r"\s", r"\p{White_Space}")).findall
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        # In lowered ASCII the classes are plain ranges.
+        self.split_ascii = re.compile(pattern.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9").replace(r"\s", r"\t-\r\x20"), re.ASCII).findall
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split if self.added else None
         self.letters = byte_letters()
+        self.byte_of = {ord(c): b for b, c in enumerate(self.letters)}
         self.memo = Memo(self.chunk, most_cached)
         self.load_pairs()
 
@@ -156,8 +167,18 @@ class WordBPE:
         """Ids as little-endian bytes, and decoded text, of a stretch without white space."""
         return self.chunk_all([raw])[raw]
 
+    def pre_tokens(self, raw: str) -> list[bytes]:
+        """The words of a stretch as UTF-8, normalised."""
+        if raw.isascii():
+            return [w.encode() for w in self.split_ascii(raw.lower())]
+        return [w.translate(self.byte_of).encode("latin-1") for w, _ in self.pre_tokenize(self.normalize(raw))]
+
+    def parted(self, text: str) -> list[str]:
+        """Stretches of text at even places, added tokens at odd ones."""
+        return self.special(text) if self.special and any(t in text for t in self.added) else [text]
+
     def chunk_all(self, raws: list[str]) -> dict[str, tuple[bytes, str]]:
-        split = {raw: [w.encode() for w in self.split(lowered(raw))] for raw in raws}
+        split = {raw: self.pre_tokens(raw) for raw in raws}
         ids_of = self.words_ids({w for words in split.values() for w in words})
         found = {}
         for raw, words in split.items():
@@ -169,21 +190,20 @@ class WordBPE:
         """Puts what a batch's texts need into the cache, all new words at once."""
         memo, new = self.memo, set()
         for text in texts:
-            for part in self.special(text)[::2] if text and self.special and "<|" in text else [text or ""]:
+            for part in self.parted(text or "")[::2]:
                 new.update(chunks(part))
-        new = [c for c in new if c not in memo and c not in memo.old]
+        new = [c for c in new if len(c) <= memo.longest and c not in memo and c not in memo.old]
         for k in range(0, len(new), 4 * ROWS):
             for raw, value in self.chunk_all(new[k : k + 4 * ROWS]).items():
                 memo.put(raw, value)
 
     def pieces(self, text: str) -> list[tuple[bytes, str]]:
-        memo = self.memo
-        if self.special and "<|" in text:
-            out = []
-            for k, part in enumerate(self.special(text)):
-                out += [(struct.pack("<I", self.added[part]), part)] if k % 2 else [memo[w] for w in chunks(part)]
-            return out
-        return [memo[w] for w in chunks(text)]
+        memo, parts = self.memo, self.parted(text)
+        out = [memo[w] for w in chunks(parts[0])]
+        for token, part in zip(parts[1::2], parts[2::2], strict=True):
+            out.append((struct.pack("<I", self.added[token]), token))
+            out += [memo[w] for w in chunks(part)]
+        return out
 
     def encode(self, text: str | None) -> list[int]:
         data = b"".join([p[0] for p in self.pieces(text or "")])
@@ -201,31 +221,26 @@ class WordBPE:
         return len(data) // 4, hashlib.sha256(data).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
 
-#: Characters that str.split() takes for white space and Unicode's property doesn't.
-ODD_SPACE = re.compile("[\x1c-\x1f]").search
-BY_PROPERTY = regex.compile(r"\P{White_Space}+").findall
+#: Characters that str.split() takes for blanks and that aren't ASCII blanks; what they are is left to the library.
+ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
+BY_BLANKS = re.compile(r"[^\t-\r\x20]+").findall
 
 
 def chunks(text: str) -> list[str]:
-    """Stretches without white space; nothing that follows can join two of them."""
-    return BY_PROPERTY(text) if ODD_SPACE(text) else text.split()
-
-
-def lowered(text: str) -> str:
-    """NFC, then each character's own lower case (a sigma has no final form then)."""
-    if text.isascii():
-        return text.lower()
-    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+    """Stretches without ASCII blanks; nothing that follows can join two of them."""
+    return BY_BLANKS(text) if ODD_SPACE(text) else text.split()
 
 
 def encoded(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The ids and the decoded text of every text: the operator's own output, for writing token tables.
 
-    Null and empty texts have no ids and decode to ''; a null id stays null; repeated rows each get their row.
+    Null and empty texts have no ids and decode to ''; a null id stays null; repeated rows each get their row; an empty
+    table gives no rows; other columns are ignored.
     """
+    file = file_broadcast(docs.sparkSession, tokenizer)
 
     def start() -> Callable[..., tuple]:
-        bpe = WordBPE(tokenizer)
+        bpe = WordBPE(file.value)
 
         def one(key, text):
             ids = bpe.encode(text)
@@ -239,9 +254,10 @@ def encoded(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: s
 
 def encode_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Count and SHA-256 of every text's ids, and SHA-256 of what they decode to. Cases as encoded(); no shuffle."""
+    file = file_broadcast(docs.sparkSession, tokenizer)
 
     def start() -> Callable[..., tuple]:
-        bpe = WordBPE(tokenizer)
+        bpe = WordBPE(file.value)
 
         def one(key, text):
             return key, *bpe.digest(text)

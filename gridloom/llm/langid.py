@@ -22,6 +22,8 @@ from .common import arrow_batches, map_rows, packed
 BINS = 1 << 15
 #: Bounds of the fit: rows in the sample, and labels; a table with more labels is an error.
 MOST_ROWS, MOST_LABELS = 3000, 200
+#: Columns of a sampled row at most, the same choice of columns for all; so the sample takes at most some 120 MB on the driver.
+MOST_GRAMS = 4096
 ALPHA, BETA, L1, L2, EPOCHS = 2.0, 1.0, 0.02, 0.001, 3
 UNKNOWN = "und"
 SEED = 7
@@ -116,10 +118,14 @@ def document_frequencies(rows: DataFrame) -> tuple[int, np.ndarray]:
 
 
 def sampled(rows: DataFrame, counts: list[tuple[str, int]], most: int) -> tuple[list[str], list[np.ndarray], list[np.ndarray]]:
-    """Labels, columns and counts of at most `most` rows, as even over the labels as they go, picked by hash."""
+    """Labels, columns and counts of about `most` rows (a quarter more at most), as even over the labels as they go.
+
+    Rows are picked by a hash of id and text, so rows that share an id, or have none, are picked one by one; rows alike
+    in id, text and label count once.
+    """
     each = max(1, most // max(1, len(counts)))
     keep = F.lit(False)
-    pick = F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1_000_000))
+    pick = F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "text"), F.lit(1_000_000))
     for lang, n in counts:  # at most MOST_LABELS branches
         keep = keep | ((F.col("lang") == lang) & (pick < min(1_000_000, -(-1_000_000 * each // n))))
     schema = "h long, lang string, at array<int>, n array<float>"
@@ -127,11 +133,18 @@ def sampled(rows: DataFrame, counts: list[tuple[str, int]], most: int) -> tuple[
     def start() -> Callable[..., tuple]:
         def one(h, lang, text):
             got = grams(text)
-            return (h, lang, *([got[0], got[1]] if got is not None else ([], [])))
+            if got is None:
+                return h, lang, [], []
+            at, n = got
+            if len(at) > MOST_GRAMS:
+                some = np.sort(np.argsort(np.random.default_rng(SEED).permutation(BINS)[at])[:MOST_GRAMS])
+                at, n = at[some], n[some]
+            return h, lang, at, n
 
         return one
 
-    found = map_rows(rows.filter(keep), [F.xxhash64(F.lit(SEED + 1), "doc_id"), F.col("lang"), F.col("text")], schema, start)
+    once = rows.filter(keep).groupBy(F.xxhash64(F.lit(SEED + 1), "doc_id", "text").alias("h"), "lang").agg(F.first("text").alias("text"))
+    found = map_rows(once, [F.col("h"), F.col("lang"), F.col("text")], schema, start)
     table = found.filter(F.size("at") > 0).orderBy("h", "lang").limit(most + most // 4).toArrow()
     at, n = table.column("at"), table.column("n")
     return table.column("lang").to_pylist(), [x.values.to_numpy() for x in at], [x.values.to_numpy() for x in n]

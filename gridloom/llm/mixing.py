@@ -2,10 +2,12 @@
 
 A source's target over its size is the copies each of its documents should get. The whole part is given; the fraction
 is rounded by pairs: two documents trade words, by chance in a proportion that keeps each one's expectation, until one
-of them is whole. The words of a pair stay the same, so a source ends within one document of its target. Pairs are
-formed inside blocks of about FAN documents; each block's residual goes up a reduction tree of the same fan.
+of them is whole. The words of a pair stay the same, so a source ends within half a document of its target. Pairs are
+formed inside blocks of about FAN documents; each block's residual goes up a reduction tree of the same fan. In a block
+the longest documents trade first, among themselves, and the short ones settle what they leave; the last residual of a
+source, which has nothing to trade with, goes to the nearer side.
 
-Chance is a hash of the ids and a seed, and blocks are sorted by it, so reruns agree however the rows are dealt.
+Chance is a hash of the ids and a seed, and blocks are sorted by size and by it, so reruns agree however the rows are dealt.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import SPACE_CLASS, join_small, packed, repeated, row_digest, written
+from .common import SPACE_CLASS, join_hot, join_small, packed, repeated, row_digest, running_sums, written
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2
@@ -37,29 +39,31 @@ def targets(units: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, mo
     """Each source's size, number of units, weight and target.
 
     Sources are filled by weight until they reach most times their size: with sources sorted by size over weight,
-    those before the first whose share of what is left fits under its stop are at their stop. The windows run over one
-    row for each source.
+    those before the first whose share of what is left fits under its stop are at their stop. Sources may be as many as
+    documents: their order and sums are made in ranges, and only totals come to the driver.
     """
     sources = units.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.count("*").alias("units"))
-    rank = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last()))
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(rank - 1, F.lit(len(weights))) + 1).cast("int"))
-    s = sources.select("*", weight.alias("weight"), (F.col("source_size") * F.lit(float(most))).alias("stop"))
-    order = W.orderBy(F.col("stop") / F.col("weight"), F.col("source").asc_nulls_last())
-    left = F.lit(share) * F.sum("source_size").over(W.partitionBy()) - F.coalesce(F.sum("stop").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    level = left / F.sum("weight").over(order.rowsBetween(0, W.unboundedFollowing))
-    s = s.select("*", level.alias("level"))
+    s = running_sums(sources, [F.col("source").asc_nulls_last()], {"rank": F.lit(1).cast("long")}, "mix-sources")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod("rank", F.lit(len(weights))) + 1).cast("int"))
+    s = s.select("*", weight.alias("weight"), (F.col("source_size") * F.lit(float(most))).alias("stop"))
+    s = s.withColumn("height", F.col("stop") / F.col("weight"))
+    s = written(running_sums(s, [F.col("height"), F.col("rank")], {"stops": F.col("stop"), "lighter": F.col("weight")}, "mix-heights"), "mix-levels")
+    size, total_weight = s.agg(F.sum("source_size"), F.sum("weight")).first()
+    level = (F.lit(share * (size or 0)) - F.col("stops")) / (F.lit(float(total_weight or 0)) - F.col("lighter"))
+    s = s.withColumn("level", level)
     # A weight's part of the first level that fits; relative slack for the last bits of the sums.
     fits = F.col("level") * F.col("weight") <= F.col("stop") * F.lit(1 + 1e-12)
-    s = s.select("*", F.min_by(F.when(fits, F.col("level")), F.when(fits, F.col("stop") / F.col("weight"))).over(W.partitionBy()).alias("fill"))
-    return s.select("source", "source_size", "units", F.coalesce(F.least("stop", F.col("fill") * F.col("weight")), F.col("stop")).alias("target"))
+    fill = s.filter(fits).agg(F.min_by("level", F.struct("height", "rank"))).first()[0]
+    target = F.col("stop") if fill is None else F.least("stop", F.lit(fill) * F.col("weight"))
+    return s.select("source", "source_size", "units", target.alias("target"))
 
 
 def rounded_block(items: Column) -> Column:
     """Folds a block: struct(done, open), done with x of 0 or 1, open the one unit left over."""
-    unit = "struct<h:bigint,source:string,doc_id:bigint,size:bigint,rows:bigint,extra:bigint,x:double>"
+    unit = "struct<order:bigint,h:bigint,source:string,doc_id:bigint,size:bigint,rows:bigint,extra:bigint,x:double>"
 
     def put(u: Column, x: Column) -> Column:
-        return F.struct(*[u[k].alias(k) for k in ("h", "source", "doc_id", "size", "rows", "extra")], x.alias("x"))
+        return F.struct(*[u[k].alias(k) for k in ("order", "h", "source", "doc_id", "size", "rows", "extra")], x.alias("x"))
 
     def snap(x: Column) -> Column:
         return F.when(x < TINY, 0.0).when(x > 1 - TINY, 1.0).otherwise(x)
@@ -110,15 +114,14 @@ def round_units(pool: DataFrame, most_units: int) -> DataFrame:
         blocks = -(-blocks // FAN)
         of_source = F.ceil(F.col("units") / F.lit(float(FAN ** (level + 1)))).cast("long")
         h = F.xxhash64(F.lit(SEED + level), "doc_id", "size")
-        items = F.sort_array(F.collect_list(F.struct(h.alias("h"), *cols)))
+        items = F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("order"), h.alias("h"), *cols)))
         dealt = pool.select("*", F.pmod(F.xxhash64(F.lit(SEED - 1 - level), "doc_id", "size"), F.greatest(of_source, F.lit(1))).alias("block"))
         folded = dealt.groupBy("source", "block").agg(F.max("units").alias("units"), items.alias("items"))
         folded = written(folded.select("units", rounded_block(F.col("items")).alias("r")), f"mix-level{level}")
         done.append(folded.select(F.explode("r.done").alias("u")).select(*[f"u.{c}" for c in cols]))
         rest = folded.select("units", "r.open").select("units", *[f"open.{c}" for c in cols])
         if blocks <= 1:
-            last = F.when(chance(F.lit("last"), "doc_id", "size") < F.col("x"), 1.0).otherwise(0.0)
-            done.append(rest.select(*cols[:-1], F.when(F.col("x").isin(0.0, 1.0), F.col("x")).otherwise(last).alias("x")))
+            done.append(rest.select(*cols[:-1], F.when(F.col("x") < 0.5, 0.0).otherwise(1.0).alias("x")))
             break
         done.append(rest.filter(F.col("x").isin(0.0, 1.0)).select(*cols))
         pool, level = rest.filter(~F.col("x").isin(0.0, 1.0)), level + 1
@@ -161,6 +164,11 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     return each.select("doc_id", "size", "source_size", "target", (n * F.col("size")).alias("taken"), n.alias("copies"), "source")
 
 
+def unit_key(source: Column, doc_id: Column, size: Column) -> Column:
+    """A unit as one text; nulls differ from all values."""
+    return F.concat_ws(":", size.cast("string"), F.coalesce(doc_id.cast("string"), F.lit("")), F.when(source.isNull(), "").otherwise(F.concat(F.lit("="), source)))
+
+
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """The mix itself: each row as often as it is taken, with all its columns, in no order.
 
@@ -168,8 +176,9 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     of the whole row; rows that are alike are counted and unfolded at the end, so they make no hot group.
     """
     c = written(copies(docs, id_col, text_col, source_col, **how).select(*KEYS, "rows", "base", "extra", "x"), "mix-copies")
-    d = packed(docs, s=F.col(source_col).cast("string"), i=F.col(id_col).cast("long"), n=word_count(F.col(text_col)))
-    j = d.join(c, F.col("s").eqNullSafe(F.col("source")) & F.col("i").eqNullSafe(F.col("doc_id")) & (F.col("n") == F.col("size")))
+    d = packed(docs, unit=unit_key(F.col(source_col).cast("string"), F.col(id_col).cast("long"), word_count(F.col(text_col))))
+    c = c.withColumn("unit", unit_key(F.col("source"), F.col("doc_id"), F.col("size")))
+    j = join_hot(d, c, "unit", c.select("unit", F.col("rows").alias("n")))
     single = j.filter(F.col("rows") == 1).withColumn("copies", F.col("base") + F.col("extra") + F.col("x")).filter("copies > 0")
     out = single.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
     if not c.filter("rows > 1").isEmpty():

@@ -3,8 +3,9 @@
 Each document gets counts of words, symbols, repeated lines and repeated word windows. Four integer measures of the
 documents that pass the base rule go into histogram sketches per language and source: bins of five significant bits,
 so a quantile is within 1/16 of its value, and two sketches merge by adding the counts of equal bins. A group's fences
-are quartiles widened by three interquartile ranges; groups with few documents take the merged sketch of their
-language, or of all. Documents are then joined with their group's fences and filtered.
+lie beyond its outer deciles, as far as those lie from its median and at least by a measure's least reach; groups with few
+documents take the merged sketch of their language, or of all. Documents are then joined with their group's fences and
+filtered.
 """
 
 from __future__ import annotations
@@ -19,9 +20,10 @@ WINDOW = 5
 LEAST_WORDS, MOST_REPEATED = 10, 20
 #: Documents that a group needs for fences of its own.
 LEAST_GROUP = 30
-#: How many interquartile ranges a fence stands off, and the least range taken for each measure.
-STAND_OFF = 3
-LEAST_RANGE = {"word_len": 100, "symbols": 20, "dup_lines": 150, "repeats": 70}
+#: How far a fence lies at least beyond the decile: hundredths of letters in a word, else thousandths. Each is below what the base rule leaves.
+LEAST_REACH = {"word_len": 150, "symbols": 60, "dup_lines": 150, "repeats": 60}
+#: The percentiles that fences are made of.
+LOW, MIDDLE, HIGH = 10, 50, 90
 
 
 def repeat_words(w: Column, n: Column) -> Column:
@@ -102,49 +104,51 @@ def measured(feats: DataFrame) -> DataFrame:
 
 def sketches(rows: DataFrame) -> DataFrame:
     """The histogram sketch of each language, source and measure: one row for a bin and its count."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), bin_of(F.col(m)).alias("bin")) for m in LEAST_RANGE]))
+    pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), bin_of(F.col(m)).alias("bin")) for m in LEAST_REACH]))
     return rows.filter(~F.col("base_failed")).select("lang_key", "source_key", pairs.alias("p")).groupBy("lang_key", "source_key", "p.measure", "p.bin").agg(F.count("*").alias("n"))
 
 
-def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """Merges sketches to the given keys and reads the quartiles of each measure: n, then q25 and q75 by measure."""
+def deciles(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """Merges sketches to the given keys and reads the percentiles of each measure: n, then q10, q50 and q90 by measure."""
     merged = sketch.groupBy(*keys, "measure", "bin").agg(F.sum("n").alias("n"))
     by = W.partitionBy(*keys, "measure")
     run = merged.select("*", F.sum("n").over(by.orderBy("bin").rowsBetween(W.unboundedPreceding, 0)).alias("upto"), F.sum("n").over(by).alias("total"))
-    q = lambda k: F.min(F.when(F.col("upto") * 4 >= F.col("total") * k, F.col("bin")))
-    each = run.groupBy(*keys, "measure").agg(F.max("total").alias("total"), q(1).alias("q25"), q(3).alias("q75"))
+    q = lambda k: F.min(F.when(F.col("upto") * 100 >= F.col("total") * k, F.col("bin"))).alias(f"q{k}")
+    each = run.groupBy(*keys, "measure").agg(F.max("total").alias("total"), *[q(k) for k in (LOW, MIDDLE, HIGH)])
     wide = [F.max("total").alias("group_n")]
-    for m in LEAST_RANGE:
-        for name in ("q25", "q75"):
+    for m in LEAST_REACH:
+        for name in (f"q{k}" for k in (LOW, MIDDLE, HIGH)):
             wide.append(F.max(F.when(F.col("measure") == m, F.col(name))).alias(f"{m}_{name}"))
     return each.groupBy(*keys).agg(*wide)
 
 
 def fences(sketch: DataFrame) -> DataFrame:
     """Lowest word length and highest measures of each (lang_key, source_key), from the finest level with enough documents."""
-    levels = [quartiles(sketch, ["lang_key", "source_key"]), quartiles(sketch, ["lang_key"]), quartiles(sketch.withColumn("all_key", F.lit("a")), ["all_key"])]
+    levels = [deciles(sketch, ["lang_key", "source_key"]), deciles(sketch, ["lang_key"]), deciles(sketch.withColumn("all_key", F.lit("a")), ["all_key"])]
     names = [c for c in levels[0].columns if c not in ("lang_key", "source_key")]
     a, b, c = (x.select(*[F.col(k).alias(k) for k in x.columns if k not in names], F.struct(*names).alias(f"l{i}")) for i, x in enumerate(levels))
     picked = a.withColumn("all_key", F.lit("a")).join(b, "lang_key", "left").join(c, "all_key", "left")
     best = F.when(F.col("l0.group_n") >= LEAST_GROUP, F.col("l0")).when(F.col("l1.group_n") >= LEAST_GROUP, F.col("l1")).otherwise(F.col("l2"))
     picked = picked.select("lang_key", "source_key", best.alias("l"))
-    spread = lambda m: F.greatest(F.col(f"l.{m}_q75") - F.col(f"l.{m}_q25"), F.lit(LEAST_RANGE[m])) * STAND_OFF
-    tops = [(F.col(f"l.{m}_q75") + spread(m)).alias(f"{m}_most") for m in LEAST_RANGE]
-    return picked.select("lang_key", "source_key", (F.col("l.word_len_q25") - spread("word_len")).alias("word_len_least"), *tops)
+    at = lambda m, k: F.col(f"l.{m}_q{k}")
+    above = lambda m: at(m, HIGH) + F.greatest(at(m, HIGH) - at(m, MIDDLE), F.lit(LEAST_REACH[m]))
+    below = at("word_len", LOW) - F.greatest(at("word_len", MIDDLE) - at("word_len", LOW), F.lit(LEAST_REACH["word_len"]))
+    return picked.select("lang_key", "source_key", below.alias("word_len_least"), *[above(m).alias(f"{m}_most") for m in LEAST_REACH])
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """One row per document with its counts, the base rule and the verdict.
 
     Null, empty and blank texts have no words and fail the base rule; a null id stays null; a null language or source
-    is a group of its own; repeated rows each get their row and each count in the sketches; other columns are ignored.
+    is a group of its own; repeated rows each get their row and each count in the sketches; other columns are ignored; an
+    empty table gives no rows.
     The texts are read once: the counts are written to the shared folder and read for the sketches and for the verdict.
     """
     rows = written(measured(features(docs, id_col, text_col, lang_col, source_col)), "quality")
     limits = written(fences(sketches(rows)), "fences")
     both = join_small(rows, limits, ["lang_key", "source_key"])
     inside = F.col("word_len") >= F.col("word_len_least")
-    for m in LEAST_RANGE:
+    for m in LEAST_REACH:
         inside = inside & (F.col(m) <= F.col(f"{m}_most"))
     return both.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",

@@ -71,7 +71,8 @@ def license_sql() -> str:
 def quality_sql() -> str:
     """The same rules over unnested words, with the sketches as counts of bins."""
     q = quality
-    measures = list(q.LEAST_RANGE)
+    measures = list(q.LEAST_REACH)
+    percents = (q.LOW, q.MIDDLE, q.HIGH)
 
     def binned(m: str) -> str:
         shift = f"greatest(length(bin({m})) - 5, 0)"
@@ -83,18 +84,19 @@ def quality_sql() -> str:
         by = f"{keys}, measure" if keys else "measure"
         group = f"GROUP BY {keys}" if keys else ""
         lead = f"{keys}, " if keys else ""
-        wide = ", ".join(f"max(q{k}) FILTER (WHERE measure = '{m}') AS {m}_q{k}" for m in measures for k in (25, 75))
+        quantiles = ", ".join(f"min(bin) FILTER (WHERE upto * 100 >= total * {k}) AS q{k}" for k in percents)
+        wide = ", ".join(f"max(q{k}) FILTER (WHERE measure = '{m}') AS {m}_q{k}" for m in measures for k in percents)
         return f"""{name}_bins AS (SELECT {by}, bin, count(*) AS n FROM pairs GROUP BY {by}, bin),
         {name}_run AS (SELECT {by}, bin, sum(n) OVER (PARTITION BY {by} ORDER BY bin ROWS UNBOUNDED PRECEDING) AS upto, sum(n) OVER (PARTITION BY {by}) AS total FROM {name}_bins),
-        {name}_q AS (SELECT {by}, max(total) AS total, min(bin) FILTER (WHERE upto * 4 >= total) AS q25, min(bin) FILTER (WHERE upto * 4 >= total * 3) AS q75 FROM {name}_run GROUP BY {by}),
+        {name}_q AS (SELECT {by}, max(total) AS total, {quantiles} FROM {name}_run GROUP BY {by}),
         {name} AS (SELECT {lead}max(total) AS group_n, {wide} FROM {name}_q {group})"""
 
     def best(col: str) -> str:
         return f"CASE WHEN g.group_n >= {q.LEAST_GROUP} THEN g.{col} WHEN l.group_n >= {q.LEAST_GROUP} THEN l.{col} ELSE a.{col} END"
 
-    limits = ", ".join(f"{best(f'{m}_q{k}')} AS {m}_q{k}" for m in measures for k in (25, 75))
-    inside = " AND ".join(f"m.{m} <= f.{m}_q75 + {q.STAND_OFF} * greatest(f.{m}_q75 - f.{m}_q25, {r})" for m, r in q.LEAST_RANGE.items())
-    least = f"m.word_len >= f.word_len_q25 - {q.STAND_OFF} * greatest(f.word_len_q75 - f.word_len_q25, {q.LEAST_RANGE['word_len']})"
+    limits = ", ".join(f"{best(f'{m}_q{k}')} AS {m}_q{k}" for m in measures for k in percents)
+    inside = " AND ".join(f"m.{m} <= f.{m}_q{q.HIGH} + greatest(f.{m}_q{q.HIGH} - f.{m}_q{q.MIDDLE}, {r})" for m, r in q.LEAST_REACH.items())
+    least = f"m.word_len >= f.word_len_q{q.LOW} - greatest(f.word_len_q{q.MIDDLE} - f.word_len_q{q.LOW}, {q.LEAST_REACH['word_len']})"
     space = r"[\x20\x09-\x0D]"
     word = r"[^\x20\x09-\x0D]+"
     return f"""

@@ -12,6 +12,7 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -213,21 +214,32 @@ def run_keys(run: str) -> list[tuple[int, int, str]]:
     for a, b, kind in keys_in(body, STARTS, 4, 3, whole_base64):
         pad = re.match("={0,%d}" % (-(b - a) % 4), run[b : b + 2])
         found.append((a, b + len(pad[0]), kind))
+    taken = list(found)
     for m in HEX_RUN.finditer(body):
         more = keys_in(m[0], HEX_STARTS, 2, 1, lambda s: bytes.fromhex(s[: len(s) // 2 * 2]))
-        found += [(m.start() + a, m.start() + b, k) for a, b, k in more if all(m.start() + b <= x or m.start() + a >= y for x, y, _ in found)]
+        found += [(m.start() + a, m.start() + b, k) for a, b, k in more if not overlaps(taken, m.start() + a, m.start() + b)]
     return found
 
 
+def overlaps(spans: list[tuple], a: int, b: int) -> bool:
+    """Whether a stretch meets one of the spans, which stand in order and apart."""
+    k = bisect_left(spans, (b,)) - 1  # the last that begins before b
+    return k >= 0 and spans[k][1] > a
+
+
 def unescaped(m: re.Match) -> str:
     return chr(int(m[1], 16)).strip() if m[1] else ""
 
 
 def json_object(part: str) -> dict | None:
+    """The object that a part of a token holds; one nested deeper than the parser goes counts as an object of unknown members."""
+    data = from_base64(part) or b""
     try:
-        got = json.loads(from_base64(part) or b"")
+        got = json.loads(data)
     except ValueError:
         return None
+    except RecursionError:
+        return {} if data.lstrip()[:1] == b"{" else None
     return got if isinstance(got, dict) else None
 
 
@@ -246,7 +258,7 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
             if "alg" in (json_object(head) or {}) and json_object(body) is not None:
                 found.append((*m.span(), "jwt"))
     for m in RUN.finditer(text):
-        if not any(a <= m.start() < b for a, b in pems):
+        if not overlaps(pems, m.start(), m.start() + 1):
             found += [(m.start() + a, m.start() + b, k) for a, b, k in run_keys(m[0])]
     return found
 
@@ -275,7 +287,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per document with its counts and spans (code points, end exclusive).
 
     Null and empty texts have no spans (the digest is that of ''); a null id stays null; repeated rows each get their
-    row; other columns are ignored. Each row is scanned on its own, whatever its length: no shuffle.
+    row; an empty table gives no rows; other columns are ignored. Each row is scanned on its own, whatever its length:
+    no shuffle.
     """
 
     def start() -> Callable[..., tuple]:

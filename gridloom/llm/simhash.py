@@ -6,7 +6,7 @@ meet under one are verified. Buckets of two give their pair from an aggregate, b
 join. The fingerprints of larger buckets are linked exactly without pairs: two are within two bits if and only if some
 word is within one bit of both, so each goes to its 65 such words, where at most 65 meet, all of them linked.
 
-Links go into connected components by rounds of label spreading over tables in the shared folder.
+Links go into connected components by rounds of random contraction over tables in the shared folder.
 """
 
 from __future__ import annotations
@@ -104,7 +104,8 @@ def links(fps: DataFrame) -> DataFrame:
     buckets = written(sigs.groupBy("sig").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1"), "simhash-buckets")
     pairs = buckets.filter("n = 2").select("a", "b").filter(near("a", "b")).distinct()
     full = buckets.filter("n > 2").select("sig", "n")
-    members = written(maybe_in(sigs, full).join(full, "sig").select("sig", "n", "fp"), "simhash-members")
+    maybe = written(maybe_in(sigs, full), "simhash-maybe")
+    members = written(join_hot(maybe, full, "sig", full).select("sig", "n", "fp"), "simhash-members")
     few = members.filter(F.col("n") <= PAIRED).select("sig", "fp")
     other = few.select("sig", F.col("fp").alias("b"))
     met = few.withColumnRenamed("fp", "a").join(other, "sig").filter(F.col("a") < F.col("b")).filter(near("a", "b")).select("a", "b").distinct()
@@ -118,30 +119,45 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(fp, root): the smallest fingerprint reachable from each one that has a link.
-
-    Each round takes the smallest root among a fingerprint and its neighbours, then that root's own root, until
-    nothing changes; a chain of n needs about log n rounds. Every round is a table in the shared folder.
+    """(fp, root): one fingerprint of its component for each that has a link, the same for all of them.
+
+    Each round gives every fingerprint a place by chance (a hash of it and the round) and moves it to the neighbour that
+    has the lowest place, or leaves it where its own is the lowest; links move along, and those inside a fingerprint go.
+    At least about half of the fingerprints that are left go in each round, on average, whatever the links' shape, so
+    rounds grow with the logarithm of the links and all of them together cost about two of the first. Where each went is
+    followed from the last round back. Every round is two tables in the shared folder; hot fingerprints are joined by a
+    bounded broadcast.
     """
-    both = written(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "simhash-links")
-    roots = written(both.groupBy("a").agg(F.least("a", F.min("b")).alias("root")).withColumnRenamed("a", "fp"), "simhash-roots")
-    while True:
-        hop = both.join(roots.select(F.col("fp").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("low"))
-        low = roots.join(hop.withColumnRenamed("a", "fp"), "fp").select("fp", F.col("root").alias("was"), F.least("root", "low").alias("root"))
-        up = roots.select(F.col("fp").alias("root"), F.col("root").alias("top"))
-        new = written(low.join(up, "root", "left").select("fp", "was", F.least("root", "top").alias("root")), "simhash-roots")
-        roots = new.select("fp", "root")
-        if new.filter("was != root").isEmpty():
-            return roots
+    moves, left = [], written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-links")
+    while not left.isEmpty():
+        place = lambda c: F.struct(F.xxhash64(F.lit(len(moves)), c), F.col(c))  # noqa: E731, B023
+        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("a").agg(F.min_by("b", place("b")).alias("b"), F.count("*").alias("n"))
+        move = written(low.select("a", F.when(place("b") < place("a"), F.col("b")).otherwise(F.col("a")).alias("to"), "n"), "simhash-moves")
+        moved = join_hot(left, move.select("a", "to"), "a", move.select("a", "n")).select(F.col("to").alias("x"), "b")
+        of_b = move.select(F.col("a").alias("b"), F.col("to").alias("y"))
+        moved = join_hot(moved, of_b, "b", move.select(F.col("a").alias("b"), "n")).filter("x <> y")
+        moves.append(move.select(F.col("a").alias("fp"), "to"))
+        left = written(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "simhash-links")
+    if not moves:
+        return edges.select(F.col("a").alias("fp"), F.col("a").alias("root")).limit(0)
+    roots = moves[-1].withColumnRenamed("to", "root")
+    for move in moves[-2::-1]:
+        later = roots.select(F.col("fp").alias("to"), F.col("root").alias("later"))
+        counts = move.groupBy("to").agg(F.count("*").alias("n"))
+        # One that is no fingerprint of a later round has arrived.
+        later = counts.join(later, "to", "left").select("to", F.coalesce("later", "to").alias("root"))
+        roots = written(join_hot(move, later, "to", counts).select("fp", "root"), "simhash-roots")
+    return roots
 
 
 def with_components(marks: DataFrame, with_root: bool = False) -> DataFrame:
-    """doc_id, fp, component_id for a written table of doc_id and fp; with_root adds the component's smallest fingerprint."""
+    """doc_id, fp, component_id for a written table of doc_id and fp; with_root adds one fingerprint that stands for the component."""
     more = ["root"] if with_root else []
     each = written(marks.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-distinct")
-    roots = components(links(each.select("fp")))
+    roots = components(written(links(each.select("fp")), "simhash-edges"))
     lowest = each.join(roots, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
-    named = join_hot(roots, written(lowest, "simhash-lowest"), "root").select("fp", "component_id", *more)
+    named = join_hot(roots, written(lowest, "simhash-lowest"), "root", roots.groupBy("root").agg(F.count("*").alias("n"))).select("fp", "component_id", *more)
     of = each.join(named, "fp", "left").select("fp", F.when(F.col("component_id").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"), *[F.coalesce("root", "fp").alias("root") for _ in more])
     return join_hot(marks, written(of, "simhash-components"), "fp", each.select("fp", "n")).select("doc_id", "fp", "component_id", *more)
 

@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, map_rows
+from .common import Memo, file_broadcast, map_rows
 
 MARK = "▁"
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
@@ -26,10 +26,11 @@ SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 class PieceCounter:
     """Counts tokens as a sentencepiece BPE model with byte fallback and identity normalisation does."""
 
-    def __init__(self, model_file: str, most_cached: int = 300_000):
+    def __init__(self, model: str | bytes, most_cached: int = 300_000):
+        """model: the path of a vocabulary, or its bytes."""
         import sentencepiece
 
-        sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
+        sp = sentencepiece.SentencePieceProcessor(**{"model_file" if isinstance(model, str) else "model_proto": model})
         scores = {sp.id_to_piece(i): sp.get_score(i) for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))}
         order = {s: k for k, s in enumerate(sorted(set(scores.values()), reverse=True))}
         self.rank = {p: order[s] for p, s in scores.items()}
@@ -93,12 +94,14 @@ class PieceCounter:
 def token_counts(docs: DataFrame, model_file: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts the tokens of every text.
 
-    Null and empty texts have 0 bytes and 0 tokens; a null id stays null; repeated rows each get their row; other
-    columns are ignored. Each row is counted on its own, whatever its length, so there is no shuffle.
+    Null and empty texts have 0 bytes and 0 tokens; a null id stays null; repeated rows each get their row; an empty
+    table gives no rows; other columns are ignored. Each row is counted on its own, whatever its length, so there is no
+    shuffle.
     """
+    file = file_broadcast(docs.sparkSession, model_file)
 
     def start() -> Callable[..., tuple]:
-        count = PieceCounter(model_file)
+        count = PieceCounter(file.value)
 
         def one(key, text):
             n = count(text)

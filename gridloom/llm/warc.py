@@ -1,13 +1,16 @@
 """A deterministic sharded WARC writer and its reader.
 
-Records are range-sorted by page id. Each task writes its range as gzip members, rolls to a new file once the
-compressed size reaches the limit, and regenerates headers, digests, record ids and dates from the records alone, so a
-second attempt writes the same bytes. Files get a temporary name until they are whole; a manifest table, written last,
-names those that count. Files are opened by URI (file, hdfs, s3, gs), in the shared folder.
+Records are sorted by page id, then payload digest, then url, and cut into shards by the running sum of their bytes, which
+is exact: shards, files and bytes follow from the records alone, not from how the rows lie or how many tasks there are.
+Each task writes its shards as gzip members, rolls to a new file once the compressed size reaches the limit, and
+regenerates headers, digests, record ids and dates, so a second attempt writes the same bytes. Files get a temporary name
+until they are whole; a manifest table, written last, names those that count. Files are opened by URI (file, hdfs, s3,
+gs), in the shared folder.
 
 Of equal payloads the one with the smallest page id is the response; the others are revisit records that refer to it.
-Both sides of that decision travel in one exchange: each revisiting page's reference is a narrow row that the
-range sort puts right before the page.
+Each revisiting page's reference is a narrow row that the sort puts right before the page. Rows that are alike are counted,
+so one that stands in a third of the table is dealt over shards as a number of times, and an id that many rows share is
+cut by digest and url.
 """
 
 from __future__ import annotations
@@ -22,13 +25,16 @@ from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, fresh_path
+from .common import arrow_batches, fresh_path, join_hot, running_sums, searched, written
 
 FILE_LIMIT = 64 << 20
+#: Bytes of a shard before compression, and shards at most: shards of large tables grow instead.
+SHARD_BYTES, MOST_SHARDS = 32 << 20, 50_000
+#: What a record's headers count for.
+HEAD_BYTES = 512
 DATE = "2000-01-01T00:00:00Z"
 LEVEL = 6
 CRLF = b"\r\n"
@@ -93,6 +99,9 @@ class Shard:
         self.sha.update(data)
         self.size += len(data)
 
+    def ended(self) -> list[tuple]:
+        return [self.close()] if self.out is not None else []
+
     def close(self) -> tuple:
         self.out.close()
         self.fs.move(self.temp, posixpath.join(self.folder, self.name))
@@ -104,60 +113,107 @@ def rows_batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) ->
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
 
-def first_of_each(pages: DataFrame, least_bytes: int) -> DataFrame:
-    """page_id, digest, first of the pages that revisit another: one row for each id and digest.
+def sort_key() -> Column:
+    """Page id (nulls first), digest and url as one text that sorts like them; rows with equal keys are alike."""
+    place = F.lpad(F.hex(F.col("page_id").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    url = F.when(F.col("url").isNull(), "-").otherwise(F.sha1(F.col("url").cast("binary")))
+    return F.concat(F.when(F.col("page_id").isNull(), "-").otherwise(place), F.col("digest"), url)
+
+
+def shards_of(slim: DataFrame, shard_bytes: int) -> tuple[DataFrame, int, int]:
+    """The distinct rows in order, with how often each stands there and the shards that it begins and ends in.
 
-    Counted per digest with partial sums; a digest that a third of the pages share is only a hot key of narrow rows,
-    which the join splits.
+    Written: k, page_id, digest, n, rows, before, first, last; and the bytes of a shard and the number of shards.
     """
-    named = pages.filter(F.col("n") >= least_bytes).groupBy("digest", "page_id").agg(F.count("*").alias("rows"))
-    firsts = named.groupBy("digest").agg(F.min("page_id").alias("first"), F.sum("rows").alias("rows")).filter("rows > 1 and first is not null").select("digest", "first")
-    return named.select("digest", "page_id").join(firsts, "digest").filter(~F.col("page_id").eqNullSafe(F.col("first")))
+    alike = slim.select(sort_key().alias("k"), "page_id", "digest", F.length("payload").cast("long").alias("n")).groupBy("k", "page_id", "digest", "n").agg(F.count("*").alias("rows"))
+    cost = F.col("n") + HEAD_BYTES
+    placed = running_sums(alike, [F.col("k")], {"before": F.col("rows") * cost}, "warc-keys")
+    total = placed.agg(F.max(F.col("before") + F.col("rows") * cost)).first()[0] or 0
+    size = max(shard_bytes, -(-total // MOST_SHARDS))
+    last = F.floor((F.col("before") + (F.col("rows") - 1) * cost) / size).cast("int")
+    return written(placed.select("*", F.floor(F.col("before") / size).cast("int").alias("first"), last.alias("last")), "warc-places"), size, -(-total // size)
 
 
-def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0, file_limit: int = FILE_LIMIT, shards: int | None = None) -> DataFrame:
+def references(placed: DataFrame, least_bytes: int) -> DataFrame:
+    """shard, page_id, digest, first of the pages that revisit another: one row for each shard, id and digest."""
+    named = written(placed.filter(F.col("n") >= least_bytes).groupBy("digest", "page_id").agg(F.min("first").alias("low"), F.max("last").alias("high"), F.sum("rows").alias("rows")), "warc-named")
+    firsts = named.groupBy("digest").agg(F.min("page_id").alias("of"), F.sum("rows").alias("rows"), F.count("*").alias("n")).filter("rows > 1 and of is not null")
+    firsts = written(firsts, "warc-firsts")
+    found = join_hot(named.select("digest", "page_id", "low", "high"), firsts.select("digest", "of"), "digest", firsts.select("digest", "n"))
+    return found.filter(~F.col("page_id").eqNullSafe(F.col("of"))).select(F.explode(F.sequence("low", "high")).alias("shard"), "page_id", "digest", F.col("of").alias("first"))
+
+
+def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0, file_limit: int = FILE_LIMIT, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Writes a record per row and returns the manifest (also written as a table beside the files).
 
     A null or empty html is an empty payload; a null url is about:blank; a null id sorts first, is written as `none` and
-    never serves as a reference; rows that repeat an id and a payload are alike (all responses, or all revisits).
+    never serves as a reference; rows that repeat an id and a payload are alike (all responses, or all revisits); other
+    columns are ignored; an empty table gives no files. Other layouts of the same rows give the same files.
     """
     spark = pages.sparkSession
     arrow_batches(spark, 128)
     body = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
-    slim = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), body.alias("payload"))
-    digest = F.sha1("payload")
-    refs = first_of_each(slim.select("page_id", digest.alias("digest"), F.length("payload").alias("n")), least_bytes)
-    narrow = refs.select("page_id", F.lit(0).alias("kind"), F.col("digest"), F.col("first"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"))
-    wide = slim.select("page_id", F.lit(1).alias("kind"), digest.alias("digest"), F.lit(None).cast("long").alias("first"), "url", "payload")
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = narrow.unionByName(wide).repartitionByRange(n, "page_id").sortWithinPartitions("page_id", "kind", "digest", F.xxhash64("url"))
+    slim = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), body.alias("payload")).withColumn("digest", F.sha1("payload"))
+    placed, size, shards = shards_of(slim, shard_bytes)
+    starts = placed.groupBy("first").agg(F.min("k").alias("k")).orderBy("k").collect()  # a row for each shard
+    refs = references(placed, least_bytes).select("shard", "page_id", F.lit(0).alias("kind"), "digest", F.lit("").alias("k"), "first", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), F.lit(1).cast("long").alias("times"))
+    at = searched([r["k"] for r in starts[1:]], F.col("k"))
+    shard = F.get(F.from_json(F.lit(str([r["first"] for r in starts])), "array<int>"), at)
+    wide = slim.withColumn("k", sort_key()).select("*", shard.alias("shard"), F.lit(1).cast("long").alias("times"))
+    spread = placed.filter("first <> last")  # at most a key for each shard
+    if not spread.isEmpty():
+        keys = F.broadcast(spread.select("k"))
+        one = wide.join(keys, "k", "left_semi").groupBy("k").agg(*[F.first(c).alias(c) for c in ("page_id", "url", "payload", "digest")])
+        each = one.join(F.broadcast(spread.select("k", "n", "rows", "before", F.explode(F.sequence("first", "last")).alias("shard"))), "k")
+        # Copy j of a row lies in the shard where its bytes begin.
+        upto = lambda s: F.greatest(F.lit(0), F.least(F.col("rows"), F.ceil((s * F.lit(size) - F.col("before")) / (F.col("n") + HEAD_BYTES))))
+        each = each.withColumn("times", (upto(F.col("shard").cast("long") + 1) - upto(F.col("shard").cast("long"))).cast("long"))
+        wide = wide.join(keys, "k", "left_anti").unionByName(each.filter("times > 0").select(*wide.columns))
+    wide = wide.select("shard", "page_id", F.lit(1).alias("kind"), "digest", "k", F.lit(None).cast("long").alias("first"), "url", "payload", "times")
+    dealt = refs.unionByName(wide).repartitionById(max(1, shards), "shard").sortWithinPartitions("shard", "page_id", "kind", "digest", "k")
     fs, path = file_system(folder)
     fs.create_dir(path, recursive=True)
     names = [f.split()[0] for f in MANIFEST.split(", ")]
     types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
 
     def run(batches):
-        shard, key, refs_now, rows = Shard(folder, TaskContext.get().partitionId(), file_limit), object(), {}, []
+        shard, key, refs_now = None, object(), {}
         for batch in batches:
-            for page_id, kind, hexed, first, url, payload in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            rows = []
+            for number, page_id, kind, hexed, first, url, payload, times in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if shard is None or number != shard.number:
+                    rows += shard.ended() if shard else []
+                    shard, key = Shard(folder, number, file_limit), object()
                 if page_id != key:
                     key, refs_now = page_id, {}
                 if kind == 0:
                     refs_now[hexed] = first
                 else:
-                    digest = base64.b32encode(bytes.fromhex(hexed)).decode()
-                    rows += shard.add(page_id, page_record(page_id, url, payload, digest, refs_now.get(hexed)))
-        if shard.out is not None:
-            rows.append(shard.close())
-        if rows:
+                    data = page_record(page_id, url, payload, base64.b32encode(bytes.fromhex(hexed)).decode(), refs_now.get(hexed))
+                    for _ in range(times):
+                        rows += shard.add(page_id, data)
+            if rows:
+                yield rows_batch(rows, names, types)
+        if shard and (rows := shard.ended()):
             yield rows_batch(rows, names, types)
 
-    manifest = dealt.select("page_id", "kind", "digest", "first", "url", "payload").mapInArrow(run, MANIFEST)
+    manifest = dealt.select("shard", "page_id", "kind", "digest", "first", "url", "payload", "times").mapInArrow(run, MANIFEST)
     at = posixpath.join(folder, "manifest")
     manifest.write.parquet(at)
     return spark.read.schema(manifest.schema).parquet(at)
 
 
+def remove_unfinished(folder: str) -> int:
+    """Removes what attempts that failed have left under temporary names; to be called once no attempt runs any more."""
+    from pyarrow import fs as pafs
+
+    fs, path = file_system(folder)
+    left = [f.path for f in fs.get_file_info(pafs.FileSelector(path)) if f.base_name.startswith(".") and f.base_name.endswith(".tmp")]
+    for f in left:
+        fs.delete_file(f)
+    return len(left)
+
+
 def read_records(stream, check: bool = True) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers and block of each record of an opened archive, one at a time."""
     un, data = zlib.decompressobj(31), b""
@@ -217,5 +273,3 @@ def archived(pages: DataFrame, least_bytes: int = 0, file_limit: int = FILE_LIMI
     """Writes the pages as WARC files in the shared folder and reads them back: one row per page. Cases as write_warc()."""
     folder = fresh_path(pages.sparkSession, "warc")
     return read_warc(pages.sparkSession, write_warc(pages, folder, least_bytes=least_bytes, file_limit=file_limit), folder)
-
-
