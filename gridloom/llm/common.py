@@ -38,6 +38,9 @@ def shared_dir(spark: SparkSession) -> str:
     """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if conf:
+        if "://" not in conf:  # a bare path lies in the cluster's own file system, which other readers must be told
+            path = spark._jvm.org.apache.hadoop.fs.Path(conf)
+            conf = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
         return conf.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")

@@ -640,6 +640,9 @@ def test_shared_folder_of_a_cluster_must_be_named(spark):
     Context.master = "local[2]"
     Session.conf["spark.checkpoint.dir"] = "hdfs://x/y/"
     assert common.shared_dir(Session()) == "hdfs://x/y"
+    Session._jvm, Session._jsc = spark._jvm, spark._jsc
+    Session.conf["spark.checkpoint.dir"] = "/tmp/shared"
+    assert warc.file_system(common.shared_dir(Session()))[1] == "/tmp/shared" and common.shared_dir(Session()).startswith("file:/")
 
 
 def test_one_of_each(spark):
