@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..shared import join_hot, written
+
 LINE_GAP, WORD_GAP = 2.0, 1.0
 
 
@@ -56,10 +58,11 @@ def column_widths(df: DataFrame, usable: float, unit: float = 1.0) -> DataFrame:
 
 
 def duplicates(df: DataFrame, id_col: str, data: Column) -> DataFrame:
-    """(id, digest, canonical): the smallest id with the same SHA-256. The hot digest's rows are narrow; AQE splits their join."""
+    """(id, digest, canonical): the smallest id with the same SHA-256; null data have none. A digest that many rows share is no hot key."""
     marked = df.select(F.col(id_col).alias("id"), F.sha2(data.cast("binary"), 256).alias("digest"))
-    first = marked.groupBy("digest").agg(F.min("id").alias("canonical"))
-    return marked.join(first, "digest").select("id", "digest", "canonical")
+    first = written(marked.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("canonical"), F.count("*").alias("n")), "digests")
+    found = join_hot(marked, first.select("digest", "canonical"), "digest", first.select("digest", "n")).select("id", "digest", "canonical")
+    return found.unionByName(marked.filter("digest is null").select("id", "digest", F.col("id").alias("canonical")))
 
 
 def deduplicated(df: DataFrame, id_col: str, data: Column) -> DataFrame:

@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions.values import column_value, general
-from .orderstats import binned, edges
+from ..shared import left_join_hot, literal_array, running, searched, written
+from .orderstats import staircase
 
-#: A lookup table is broadcast only if it was counted and has at most this many rows.
-SMALL_ROWS = 100_000
-#: Copies of the carried rows of a bin, so that a hot key isn't one task.
-SALTS = 8
+#: A lookup table is broadcast, or searched as a literal, only if it was counted and has at most this many rows.
+SMALL_ROWS, SEARCHED_ROWS = 100_000, 10_000
 
 
 def matching(df: DataFrame, name: str) -> Column:
@@ -41,8 +39,7 @@ def vlookup(df: DataFrame, key: str, table: DataFrame, table_key: str, pos: str,
     left, right = keyed(df, key, table, table_key)
     found = first_rows(table, right, pos, list(dict.fromkeys(values.values())))
     found = found.select("__key", *[F.col(f"`{c}`").alias(n) for n, c in values.items()])
-    side = F.broadcast(found) if found.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else found
-    return df.withColumn("__left", left).join(side, F.col("__left") == F.col("__key"), "left").select(*df.columns, *values)
+    return left_join_hot(df, left, found, "__key", SMALL_ROWS)
 
 
 def match_position(df: DataFrame, key: str, table: DataFrame, table_key: str, pos: str, name: str = "position") -> DataFrame:
@@ -57,44 +54,53 @@ def hlookup(df: DataFrame, key: str, wide: DataFrame, headers: list[str], row: s
     return vlookup(df, key, tall, "header", "__pos", {name: "value"})
 
 
+def ordered_key(df: DataFrame, name: str, as_text: bool) -> Column:
+    """A key as ordered lookups compare it: as a number, or as a text without regard to case."""
+    return F.upper(matching(df, name)) if as_text else F.col(f"`{name}`").cast("double")
+
+
+def texts(*kinds: str) -> bool:
+    return any(k == "string" for k in kinds)
+
+
 def match_ordered(df: DataFrame, key: str, table: DataFrame, table_key: str, pos: str, values: dict[str, str], ascending: bool = True) -> DataFrame:
     """MATCH of type 1 (or -1): the row with the greatest position among keys <= (or >=) the wanted one; a miss is null.
 
-    An as-of join: both sides are dealt to bins by value, each bin gets the best row of the bins before it, and a window
-    over one bin and salt carries the best row so far. No side is broadcast and no pairs are made.
+    If either side is a text, both are compared as texts without regard to case. Keys that are null match nothing, nor do
+    null keys of the table. A table of up to SEARCHED_ROWS rows becomes a sorted literal that each row searches, so the
+    rows stay where they are. Beyond it both sides are sorted together in ranges, each range gets the best row of those
+    before it, and a window inside carries the best row so far: no pairs, and equal keys may lie in several ranges.
     """
-    sign = 1.0 if ascending else -1.0
-    best = F.struct(F.col(pos).alias("__pos"), *[F.col(f"`{c}`").alias(n) for n, c in values.items()])
-    right = table.select((F.col(f"`{table_key}`").cast("double") * sign).alias("__k"), best.alias("__row")).filter("__k is not null")
-    splits = edges(right, "__k")
-    right = binned(right, "__k", splits, "__bin")
-    tops = right.groupBy("__bin").agg(F.max("__row").alias("__row"))
-    bins = df.sparkSession.range(max(1, len(splits) - 1)).select(F.col("id").cast("int").alias("__bin"))
-    so_far = W.orderBy("__bin").rowsBetween(W.unboundedPreceding, -1)  # at most as many rows as there are bins
-    carried = bins.join(tops, "__bin", "left").select("__bin", F.max("__row").over(so_far).alias("__row")).filter("__row is not null")
-    carried = carried.select("__bin", F.lit(float("-inf")).alias("__k"), "__row")
-    salted = right.select("__bin", "__k", "__row").unionByName(carried).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    all_cols = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    left = df.select((F.col(f"`{key}`").cast("double") * sign).alias("__k"), all_cols.alias("__left"))
-    missing = left.filter("__k is null")
-    left = binned(left.filter("__k is not null"), "__k", splits, "__bin").withColumn("__salt", F.pmod(F.xxhash64("__left"), F.lit(SALTS)).cast("int"))
-    both = salted.select("__bin", "__salt", "__k", "__row", F.lit(None).cast(left.schema["__left"].dataType).alias("__left"), F.lit(0).alias("__side")).unionByName(
-        left.select("__bin", "__salt", "__k", F.lit(None).cast(salted.schema["__row"].dataType).alias("__row"), "__left", F.lit(1).alias("__side"))
-    )
-    upto = W.partitionBy("__bin", "__salt").orderBy("__k", "__side").rowsBetween(W.unboundedPreceding, 0)
-    found = both.select("__left", "__side", F.max("__row").over(upto).alias("__row")).filter("__side = 1")
-    found = found.select("__left", "__row").unionByName(missing.select("__left", F.lit(None).cast(salted.schema["__row"].dataType).alias("__row")))
-    return found.select(*[F.col(f"__left.`{c}`").alias(c) for c in df.columns], *[F.col(f"__row.`{n}`").alias(n) for n in values])
-
-
-def raised(table: DataFrame, key: str, pos: str) -> DataFrame:
-    """Adds __raised, the greatest key so far by position: a window inside each bin of positions, and what the bins before reached."""
-    x = F.col(f"`{key}`").cast("double")
-    dealt = binned(table.filter(F.col(f"`{pos}`").isNotNull()), pos, edges(table, pos), "__bin")
-    before = W.orderBy("__bin").rowsBetween(W.unboundedPreceding, -1)  # one row for each bin
-    tops = dealt.groupBy("__bin").agg(F.max(x).alias("__top")).select("__bin", F.max("__top").over(before).alias("__top"))
-    inside = W.partitionBy("__bin").orderBy(pos).rowsBetween(W.unboundedPreceding, 0)
-    return dealt.join(F.broadcast(tops), "__bin").withColumn("__raised", F.greatest("__top", F.max(x).over(inside))).drop("__bin", "__top")
+    as_text = texts(dict(df.dtypes)[key], dict(table.dtypes)[table_key])
+    right = table.select("*", ordered_key(table, table_key, as_text).alias("__k")).filter("__k is not null")
+    few = right.select("__k", F.col(f"`{pos}`").alias("__pos")).limit(SEARCHED_ROWS + 1).collect()
+    if len(few) <= SEARCHED_ROWS:
+        bounds, best = staircase([(r["__k"], r["__pos"]) for r in few], ascending)
+        return picked(df, ordered_key(df, key, as_text), bounds, best, as_text, ascending, right.drop("__k"), pos, values)
+    return carried(df, ordered_key(df, key, as_text), right, pos, values, ascending)
+
+
+def picked(df: DataFrame, wanted: Column, bounds: list, best: list, as_text: bool, ascending: bool, table: DataFrame, pos: str, values: dict[str, str]) -> DataFrame:
+    """The table's rows at the positions that a search of the bounds gives."""
+    holds = (lambda b, k: b <= k) if ascending else (lambda b, k: b >= k)
+    at = searched(literal_array(bounds, "string" if as_text else "double"), len(bounds), F.col("__wanted"), holds)
+    place = F.when(F.col("__wanted").isNotNull(), F.get(literal_array(best, "bigint"), at - 1))
+    found = df.select("*", wanted.alias("__wanted")).withColumn("__place", place)
+    return index_rows(found, "__place", table, pos, values).drop("__wanted", "__place")
+
+
+def carried(df: DataFrame, wanted: Column, right: DataFrame, pos: str, values: dict[str, str], ascending: bool) -> DataFrame:
+    """An as-of join of two large sides in one exchange."""
+    best = F.struct(F.col(f"`{pos}`").alias("__pos"), *[F.col(f"`{c}`").alias(n) for n, c in values.items()])
+    right = right.select("__k", best.alias("__row"))
+    left = df.select(wanted.alias("__k"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__left"))
+    none = lambda of, name: F.lit(None).cast(of.schema[name].dataType).alias(name)
+    both = right.select("__k", "__row", none(left, "__left"), F.lit(0).alias("__side"), F.lit(0).cast("long").alias("__tie"))
+    both = both.unionByName(left.filter("__k is not null").select("__k", none(right, "__row"), "__left", F.lit(1).alias("__side"), F.xxhash64("__left").alias("__tie")))
+    order = [F.col("__k").asc() if ascending else F.col("__k").desc(), F.col("__side"), F.col("__tie")]
+    found = running(both, order, {"__best": F.col("__row")}, "as-of", "max").filter("__side = 1").select("__left", "__best")
+    found = found.unionByName(left.filter("__k is null").select("__left", none(right, "__row").alias("__best")))
+    return found.select(*[F.col(f"__left.`{c}`").alias(c) for c in df.columns], *[F.col(f"__best.`{n}`").alias(n) for n in values])
 
 
 def vlookup_approx(df: DataFrame, key: str, table: DataFrame, table_key: str, pos: str, values: dict[str, str], in_order: bool = True) -> DataFrame:
@@ -103,16 +109,28 @@ def vlookup_approx(df: DataFrame, key: str, table: DataFrame, table_key: str, po
     For a table in order that is the last key that isn't greater. For any other, keys are first raised to their running
     maximum by position, which keeps the same rows before the first greater key.
     """
-    if not in_order:
-        table, table_key = raised(table, table_key, pos), "__raised"
-    return match_ordered(df, key, table, table_key, pos, values)
+    if in_order:
+        return match_ordered(df, key, table, table_key, pos, values)
+    as_text = texts(dict(df.dtypes)[key], dict(table.dtypes)[table_key])
+    right = table.filter(F.col(f"`{pos}`").isNotNull()).select("*", ordered_key(table, table_key, as_text).alias("__k"))
+    few = right.filter("__k is not null").select("__k", F.col(f"`{pos}`").alias("__pos")).limit(SEARCHED_ROWS + 1).collect()
+    if len(few) <= SEARCHED_ROWS:
+        bounds, best, top = [], [], None
+        size = (lambda k: k.encode()) if as_text else (lambda k: k)
+        for k, p in sorted(((r["__k"], r["__pos"]) for r in few), key=lambda r: r[1]):
+            top = k if top is None else max(top, k, key=size)
+            bounds.append(top)
+            best.append(p)
+        return picked(df, ordered_key(df, key, as_text), bounds, best, as_text, True, right.drop("__k"), pos, values)
+    raised = running(right, [F.col(f"`{pos}`")], {"__before": F.col("__k")}, "raised", "max")
+    raised = raised.withColumn("__k", F.greatest("__before", "__k")).drop("__before").filter("__k is not null")
+    return carried(df, ordered_key(df, key, as_text), written(raised, "raised-keys"), pos, values, True)
 
 
 def index_rows(df: DataFrame, position: str, table: DataFrame, pos: str, values: dict[str, str]) -> DataFrame:
     """INDEX by row number: the table's row at a position; null if there is none."""
-    right = table.select(F.col(pos).cast("long").alias("__pos"), *[F.col(f"`{c}`").alias(n) for n, c in values.items()])
-    side = F.broadcast(right) if right.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else right
-    return df.join(side, F.col(f"`{position}`").cast("long") == F.col("__pos"), "left").select(*df.columns, *values)
+    right = table.select(F.col(f"`{pos}`").cast("long").alias("__pos"), *[F.col(f"`{c}`").alias(n) for n, c in values.items()])
+    return left_join_hot(df, F.col(f"`{position}`").cast("long"), right.filter("__pos is not null"), "__pos", SMALL_ROWS)
 
 
 def sum_product_by_position(a: DataFrame, b: DataFrame, pos: str, x: str, y: str) -> DataFrame:

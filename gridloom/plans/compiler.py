@@ -18,7 +18,7 @@ from ..functions import aggregates as agg
 from ..functions import registry
 from ..functions.values import DIV0, NA, NAME, NUM, REF, TEXT, Val, boolean, column_value, error, errors_of, fails, lit, merged, number, text, to_num, to_text
 from ..operators.criteria import criterion
-from ..operators.orderstats import gcd_of, kth_values, mean_absolute_deviation, modal_value, trimmed_mean
+from ..operators.orderstats import folded, kth_values, mean_absolute_deviation, modal_value, trimmed_mean
 from .lookups import Lookups, Table
 from .parser import FormulaError, Node, parse
 
@@ -253,7 +253,7 @@ class SummaryCompiler(RowCompiler):
     do_mode_sngl = do_mode_mult = do_mode
 
     def do_gcd(self, node: Node) -> Val:
-        return self.beside(node, gcd_of, NUM)
+        return self.beside(node, lambda x: folded(x, "gcd"), NUM)
 
     def do_quartile(self, node: Node) -> Val:
         q = float(literal(node.args[1]))
