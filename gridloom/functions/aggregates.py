@@ -106,8 +106,26 @@ row("DEVSQ", deviations, lambda a: F.size(a) < 2)
 column("DEVSQ", lambda x: F.var_pop(x) * F.count(x), lambda x: F.count(x) < 2)
 row("GEOMEAN", lambda a: F.exp(mean(F.transform(a, lambda x: F.ln(x)))), lambda a: empty(a) | F.exists(a, lambda x: x <= 0), NUM)
 column("GEOMEAN", lambda x: F.exp(F.avg(F.when(x > 0, F.log(x)))), lambda x: F.min(x) <= 0, NUM)
-row("HARMEAN", lambda a: F.try_divide(F.size(a).cast("double"), total(F.transform(a, lambda x: F.try_divide(F.lit(1.0), x)))), empty, NUM)
-column("HARMEAN", lambda x: F.try_divide(F.count(x).cast("double"), F.sum(F.try_divide(F.lit(1.0), x))), none, NUM)
+
+
+def reciprocal(x: Column) -> Column:
+    return F.when(x == 0, F.lit(float("inf"))).otherwise(F.try_divide(F.lit(1.0), x))
+
+
+@function("HARMEAN", "statistics", AGGREGATE, "(number1, [number2], ...)")
+def harmonic(args: list[Val]) -> Val:
+    """A zero among the numbers gives 0; reciprocals that cancel out fail."""
+    a = numbers(args)
+    s = total(F.transform(a, reciprocal))
+    return number(F.try_divide(F.size(a).cast("double"), s), merged(errors_of(args), fails(empty(a), NUM), fails(s == 0, DIV0)))
+
+
+def harmonic_column(x: Column) -> Val:
+    s = F.sum(reciprocal(x))
+    return number(F.try_divide(F.count(x).cast("double"), s), F.when(F.count(x) == 0, NUM).when(s == 0, DIV0))
+
+
+VERTICAL["HARMEAN"] = harmonic_column
 row("AVEDEV", lambda a: mean(F.transform(a, lambda x: F.abs(x - mean(a)))), empty, NUM)
 
 
@@ -119,7 +137,6 @@ def at_share(a: Column, p: Column) -> Column:
 
 
 row("MEDIAN", lambda a: at_share(a, F.lit(0.5)), empty, NUM)
-column("MEDIAN", F.median, none, NUM)
 
 
 def modal(a: Column) -> Column:
@@ -198,7 +215,6 @@ def trimmed(a: Column, own: list[Val]) -> Column:
 by_array("TRIMMEAN", trimmed, lambda a, o: trimmed(a, o).isNull() | (F.size(a) < 2), NUM, "(array, percent)", last=True)
 
 # Over columns; extra arguments are literals or scalars.
-column("PERCENTILE PERCENTILE.INC", lambda x, p: F.percentile(x, p), none, NUM)
 column("PERCENTRANK PERCENTRANK.INC", lambda x, v: (F.count_if(x < v) + F.count_if(x == v) * F.lit(0.5)) / F.greatest(F.count(x) - 1, F.lit(1)), none, NUM)
 column("RANK RANK.EQ RANK.AVG", lambda x, v, up=None: F.count_if(x > v) + 1, lambda x, v, up=None: F.count_if(x == v) == 0, NA)
 

@@ -20,9 +20,48 @@ BUILT_IN = {
 UNQUOTED = re.compile(r'"[^"]*"|\[[^\]]*\]|\\.')
 
 
-def fixed_text(x: Column, decimals: int, grouped: bool) -> Column:
-    """With a fixed number of decimals; a negative number that rounds to zero keeps its sign."""
-    return F.format_string(f"%{',' if grouped else ''}.{decimals}f", x)
+#: Whole numbers up to here are exact doubles; beyond it a number's fraction has no more digits to round.
+EXACT = float(1 << 53)
+
+
+def split(x):
+    """A double as the sum of two halves of its bits; for a Column or a number."""
+    c = x * 134217729.0
+    high = c - (c - x)
+    return high, x - high
+
+
+def scaled(a: Column, decimals: int) -> Column:
+    """a * 10 ** decimals as a whole number, a >= 0, rounded by a's exact binary value, an exact tie to even.
+
+    The product and its rounding error together are exact, so a number just below a tie isn't raised.
+    """
+    power = float(10**decimals)
+    y = a * power
+    (ah, al), (ph, pl) = split(a), split(power)
+    rest = ((ah * ph - y) + ah * pl + al * ph) + al * pl
+    whole = F.floor(y)
+    over = (y - whole - 0.5) + rest
+    return whole + F.when((over > 0) | (over == 0) & (whole % 2 == 1), 1).otherwise(0)
+
+
+def fixed_text(x: Column, decimals: int, grouped: bool, shift: int = 0) -> Column:
+    """x * 10 ** shift with a fixed number of decimals; a negative number that rounds to zero keeps its sign."""
+    a = F.abs(x)
+    plain = F.format_string(f"%{',' if grouped else ''}.{decimals}f", x * float(10**shift))
+    if decimals + shift > 15:
+        return plain
+    digits = F.lpad(scaled(a, decimals + shift).cast("string"), F.greatest(F.length(scaled(a, decimals + shift).cast("string")), F.lit(decimals + 1)), F.lit("0"))
+    whole = F.left(digits, F.length(digits) - decimals)
+    whole = F.regexp_replace(whole, r"(?<=\d)(?=(\d{3})+$)", ",") if grouped else whole
+    body = F.concat(whole, F.lit("."), F.right(digits, F.lit(decimals))) if decimals else whole
+    small = a * float(10 ** (decimals + shift)) < EXACT
+    return F.when(small, F.concat(F.when(x < 0, "-").otherwise(""), body)).otherwise(plain)
+
+
+def custom_text(x: Column, decimals: int) -> Column:
+    """Grouped, by a pattern of placeholders: of the number's first 15 digits, a tie away from zero."""
+    return F.format_string(f"%,.{decimals}f", F.format_string("%.14e", x).cast("double"))
 
 
 def is_date_code(section: str) -> bool:
@@ -38,19 +77,32 @@ def decimals_of(section: str) -> int:
     return len(m[1]) if m else 0
 
 
-def numeric(x: Column, section: str) -> Column:
+class Section:
+    """A numeric section taken apart: what stands before and behind its placeholders, and what they ask for."""
+
+    def __init__(self, code: str):
+        self.percent = "%" in code
+        self.mantissa = re.split("E\\+", code, maxsplit=1, flags=re.I)[0]
+        self.scientific = self.mantissa != code
+        body = re.search("[0#?](?:.*[0#?])?", code, re.S)
+        self.lead, self.tail = (self.literal(code[: body.start()]), self.literal(code[body.end() :])) if body else (self.literal(code), "")
+        self.grouped = re.search("#,#|,0", code) is not None
+        self.decimals = decimals_of(code)
+
+    @staticmethod
+    def literal(part: str) -> str:
+        return re.sub(r'["\\]', "", part)
+
+
+def numeric(x: Column, code: str) -> Column:
     """One section: percent (its sign is lost), scientific, or fixed with literals around it."""
-    d = decimals_of(section)
-    if "%" in section:
-        return F.concat(fixed_text(F.abs(x) * 100, d, True), F.lit("%"))
-    if re.search(r"E\+", section, re.I):
-        sci = F.format_string(f"%.{decimals_of(re.split('E', section, flags=re.I)[0])}E", x)
+    s = Section(code)
+    if s.percent:
+        return F.concat(fixed_text(F.abs(x), s.decimals, True, shift=2), F.lit("%"))
+    if s.scientific:
+        sci = F.format_string(f"%.{decimals_of(s.mantissa)}E", x)
         return F.regexp_replace(sci, r"E([+-])(\d\d)$", r"E$10$2")
-    places = [m.start() for m in re.finditer("[0#?]", section)]
-    lead, tail = (section[: places[0]], section[places[-1] + 1 :]) if places else (section, "")
-    clean = lambda s: s.replace('"', "").replace("\\", "")
-    grouped = any(g in section for g in ("#,##", "#,#", ",0"))
-    return F.concat(F.lit(clean(lead)), fixed_text(x, d, grouped), F.lit(clean(tail)))
+    return F.concat(F.lit(s.lead), fixed_text(x, s.decimals, s.grouped), F.lit(s.tail))
 
 
 def date_pattern(section: str) -> str:

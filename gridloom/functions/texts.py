@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .maths import num, whole
-from .numberformat import fixed_text, format_value
+from .numberformat import custom_text, fixed_text, format_value
 from .registry import function
 from .values import TEXT, VALUE, Val, boolean, errors_of, fails, merged, number, parse_number, text, to_bool, to_num, to_text
 
@@ -198,11 +198,11 @@ def text_after(args: list[Val]) -> Val:
 @function("DOLLAR", "text", signature="(number, [decimals])")
 def dollar(args: list[Val], literal: float = 2) -> Val:
     x = num(args, 0)
-    return text(F.concat(F.when(x < 0, "-").otherwise(""), F.lit("$"), fixed_text(F.abs(x), min(max(int(literal), 0), 10), True)), errors_of(args))
+    return text(F.concat(F.when(x < 0, "-").otherwise(""), F.lit("$"), custom_text(F.abs(x), min(max(int(literal), 0), 10))), errors_of(args))
 
 
 @function("FIXED", "text", signature="(number, [decimals], [no_commas])")
 def fixed(args: list[Val], literal: float = 2) -> Val:
     x, d = num(args, 0), min(max(int(literal), 0), 30)
     plain = to_bool(args[2]) if len(args) > 2 else F.lit(False)
-    return text(F.when(plain, fixed_text(x, d, False)).otherwise(fixed_text(x, d, True)), errors_of(args))
+    return text(F.when(plain, fixed_text(x, d, False)).otherwise(custom_text(x, d)), errors_of(args))

@@ -14,6 +14,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NUMBER, TEXT, BOOLEAN, ERROR, BLANK = "number", "text", "boolean", "error", "blank"
+#: A rectangle of cells, row by row: an array of CELL.
+RANGE = "range"
+CELL = "struct<kind:string,num:double,txt:string,bool:boolean,err:string>"
 
 # Error literals in the order of their numbers, 1 to 7.
 ERRORS = ["#NULL!", "#DIV/0!", "#VALUE!", "#REF!", "#NAME?", "#NUM!", "#N/A"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.values import BOOLEAN, NUMBER, Val, lit, to_num, to_text
+from ..functions.values import BOOLEAN, NUMBER, TEXT, Val, lit, to_num, to_text
 
 SIGNS = ("<>", ">=", "<=", ">", "<", "=")
 
@@ -33,9 +33,26 @@ def criterion(cell: Val, wanted: object) -> Column:
         return to_num(cell) == to_num(lit(wanted))
     sign = next((s for s in SIGNS if wanted.startswith(s)), "")
     operand = wanted[len(sign) :]
-    as_text = compared(F.lower(to_text(cell)), sign or "=", F.lit(operand.lower()))
+    as_text = compared(F.upper(to_text(cell)), sign or "=", F.lit(operand.upper()))
     n = as_number(operand) if sign else None
     if n is None or cell.kind not in (NUMBER, BOOLEAN):
         return as_text
     as_numbers = compared(to_num(cell), sign, F.lit(n))
     return as_numbers & cell.col.isNotNull() if sign != "<>" else as_numbers | cell.col.isNull()
+
+
+def criterion_of(cell: Val, wanted: Val) -> Column:
+    """The same for a criterion that is an expression: its sign and its operand are read where it is evaluated."""
+    if wanted.kind != TEXT:
+        return to_num(cell) == to_num(wanted)
+    text = to_text(wanted)
+    sign = F.regexp_extract(text, "^(<>|>=|<=|>|<|=)", 1)
+    operand = F.substr(text, F.length(sign) + 1)
+    by_sign = lambda a, b: F.when(sign == "", a == b).when(sign == "<>", a != b).when(sign == ">=", a >= b).when(sign == "<=", a <= b).when(sign == ">", a > b).when(sign == "<", a < b).otherwise(a == b)
+    as_text = by_sign(F.upper(to_text(cell)), F.upper(operand))
+    if cell.kind not in (NUMBER, BOOLEAN):
+        return as_text
+    n = F.when(operand.rlike(r"^\s*[-+]?[\d.,]"), F.replace(operand, F.lit(","), F.lit("")).try_cast("double"))
+    as_number = by_sign(to_num(cell), n)
+    as_number = F.when(sign == "<>", as_number | cell.col.isNull()).otherwise(as_number & cell.col.isNotNull())
+    return F.when((sign == "") | n.isNull(), as_text).otherwise(as_number)

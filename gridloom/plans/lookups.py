@@ -2,7 +2,7 @@
 
 A table's name stands for all its cells, `table!column` for one column and `table!a:b` for the columns from a to b. Inner
 calls are joined first, so INDEX(t!a, MATCH(k, t!b, 0)) is two joins. A miss is #N/A, a row or column out of range #REF!;
-blank keys match nothing in an exact lookup and count as 0 in an approximate one, which takes numbers only.
+blank keys match nothing in an exact lookup and count as 0, or as an empty text, in an approximate one.
 """
 
 from __future__ import annotations
@@ -67,7 +67,10 @@ class Lookups:
 
     def cell(self, node: Node) -> Val:
         tree = self.bound(node)  # first, since it adds names
-        return self.compiler(self.names).compile(tree)
+        compiler = self.compiler(self.names)
+        v = compiler.compile(tree)
+        self.df = compiler.applied(self.df)
+        return v
 
     def table(self, node: Node) -> Table | None:
         """The table or the part of it that a reference names; None if there is none."""
@@ -96,15 +99,17 @@ class Lookups:
     def approximate(self, args: list[Node]) -> bool:
         return len(args) < 4 or self.whole(args[3]) != 0
 
-    def keyed(self, key: Val, name: str, ordered: bool) -> None:
-        self.df = self.df.withColumn(name, F.when(key.err.isNull(), to_num(key)) if ordered and key.err is not None else to_num(key) if ordered else key.value())
+    def keyed(self, key: Val, name: str, ordered: bool, as_text: bool = False) -> None:
+        """The wanted key as a column: in an ordered lookup a number, or a text where either side is one."""
+        value = key.value() if not ordered else to_text(key) if as_text else to_num(key)
+        self.df = self.df.withColumn(name, F.when(key.err.isNull(), value) if ordered and key.err is not None else value)
 
-    def numeric(self, key: Val, table: Table, column: str) -> tuple[DataFrame, str]:
-        """The table with its key as a number."""
+    def sorted_by(self, key: Val, table: Table, column: str) -> tuple[DataFrame, str, bool]:
+        """The table, its key column as an ordered lookup takes it, and whether keys are compared as texts."""
         cell = table.value(column)
         if TEXT in (key.kind, cell.kind):
-            raise FormulaError("an approximate lookup over rows takes numbers")
-        return table.df.withColumn("__number", to_num(cell)), "__number"
+            return table.df, column, True
+        return table.df.withColumn("__number", to_num(cell)), "__number", False
 
     def vlookup(self, name: str, args: list[Node]) -> Val:
         if len(args) < 3:
@@ -114,8 +119,8 @@ class Lookups:
             return error(NAME)
         first, column = table.columns[0], table.columns[k - 1] if 1 <= k <= len(table.columns) else None
         ordered = self.approximate(args)
-        rows, first = self.numeric(key, table, first) if ordered else (table.df, first)
-        self.keyed(key, f"{name}_k", ordered)
+        rows, first, as_text = self.sorted_by(key, table, first) if ordered else (table.df, first, False)
+        self.keyed(key, f"{name}_k", ordered, as_text)
         wanted = {f"{name}_v": column or table.columns[0], f"{name}_p": table.pos}
         if ordered:
             self.df = lookup.vlookup_approx(self.df, f"{name}_k", rows, first, table.pos, wanted, table.in_order)
@@ -136,8 +141,8 @@ class Lookups:
             return error(NAME)
         if len(table.columns) != 1:
             raise FormulaError("MATCH takes one column")
-        rows, column = self.numeric(key, table, table.columns[0]) if kind else (table.df, table.columns[0])
-        self.keyed(key, f"{name}_k", bool(kind))
+        rows, column, as_text = self.sorted_by(key, table, table.columns[0]) if kind else (table.df, table.columns[0], False)
+        self.keyed(key, f"{name}_k", bool(kind), as_text)
         if kind:
             self.df = lookup.match_ordered(self.df, f"{name}_k", rows, column, table.pos, {f"{name}_p": table.pos}, kind > 0)
         else:
