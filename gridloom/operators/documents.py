@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..shared import join_hot, written
+from .orderstats import join_groups
 
 LINE_GAP, WORD_GAP = 2.0, 1.0
 
@@ -20,18 +23,26 @@ def find_replace(df: DataFrame, column: str, old: str, new: str, count: str = "r
 
 
 def wrapped(text: Column, width: int) -> Column:
-    """Lines of at most width characters, filled greedily; a longer word has a line of its own. An array."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("line"))
+    """Lines of at most width characters, filled greedily; a longer word has a line of its own. An array.
+
+    One pass gives each word the length of its line so far; where that begins anew a line begins, so no array is copied.
+    """
+
+    def lines(line: Column) -> Column:
+        words = F.array_remove(F.split(line, " +"), "")
+        start = F.struct(F.lit(0).alias("used"), F.array().cast("array<int>").alias("begins"), F.lit(0).alias("i"))
+
+        def add(acc: Column, word: Column) -> Column:
+            n = F.length(word)
+            fits = (acc["i"] > 0) & (acc["used"] + 1 + n <= width)
+            grown = F.struct((acc["used"] + 1 + n).alias("used"), acc["begins"].alias("begins"), (acc["i"] + 1).alias("i"))
+            fresh = F.struct(n.alias("used"), F.concat(acc["begins"], F.array(acc["i"])).alias("begins"), (acc["i"] + 1).alias("i"))
+            return F.when(fits, grown).otherwise(fresh)
 
-    def add(acc: Column, word: Column) -> Column:
-        fits = F.length(acc["line"]) + 1 + F.length(word) <= width
-        grown = F.struct(acc["done"].alias("done"), F.concat(acc["line"], F.lit(" "), word).alias("line"))
-        fresh = F.struct(F.concat(acc["done"], F.array(acc["line"])).alias("done"), word.alias("line"))
-        return F.when(acc["line"].isNull(), F.struct(acc["done"].alias("done"), word.alias("line"))).when(fits, grown).otherwise(fresh)
+        cut = lambda acc: F.transform(acc["begins"], lambda b, k: F.array_join(F.slice(words, b + 1, F.coalesce(F.get(acc["begins"], k + 1), acc["i"]) - b), " "))
+        return F.when(F.size(words) == 0, F.array(F.lit(""))).otherwise(F.aggregate(words, start, add, cut))
 
-    end = lambda acc: F.when(acc["line"].isNull(), F.array(F.lit(""))).otherwise(F.concat(acc["done"], F.array(acc["line"])))
-    one = lambda line: F.aggregate(F.array_remove(F.split(line, " +"), ""), start, add, end)
-    return F.flatten(F.transform(F.split(text, "\r?\n"), one))
+    return F.flatten(F.transform(F.split(text, "\r?\n"), lines))
 
 
 def paginated(df: DataFrame, id_col: str, text_col: str, width: int, lines_per_page: int) -> DataFrame:
@@ -82,30 +93,64 @@ def merged(parts: list[DataFrame], id_col: str) -> DataFrame:
     return out.join(F.broadcast(shift), "source_part").select(*[(F.col(c) + F.col("__shift")).alias(c) if c == id_col else F.col(c) for c in parts[0].columns], "source_part")
 
 
-def split_by_ranges(pages: DataFrame, page: str, ranges: list[tuple[int, int]]) -> DataFrame:
-    """Each range of pages as a part, numbered from 1; ranges may overlap, so a page can be in several."""
-    parts = F.array(*[F.when(F.col(page).between(a, b), F.lit(k)) for k, (a, b) in enumerate(ranges, 1)])
+def split_by_ranges(pages: DataFrame, page: str, ranges: list[tuple[int, int | None]]) -> DataFrame:
+    """Each range of pages as a part, numbered from 1; ranges may overlap, so a page can be in several. None is the last page."""
+    inside = lambda a, b: F.col(page) >= a if b is None else F.col(page).between(a, b)
+    parts = F.array(*[F.when(inside(a, b), F.lit(k)) for k, (a, b) in enumerate(ranges, 1)])
     return pages.withColumn("part", F.explode(F.filter(parts, lambda p: p.isNotNull())))
 
 
-def reordered(pages: DataFrame, page: str, order: list[int], by: list[str] | None = None) -> DataFrame:
-    """Pages in a new order, which must be a permutation of 1 to n; new_page is each one's place, for pages past n their own."""
+def counted_pages(pages: DataFrame, by: list[str], name: str) -> DataFrame:
+    """The pages with the number of their document's, found by partial counts; a document's key may be null."""
+    n = written(pages.groupBy(*by).agg(F.count("*").alias(name)), "page-counts")
+    return join_groups(pages, n, by) if by else pages.withColumn(name, F.lit(n.first()[0] if n.count() else 0).cast("long"))
+
+
+def reordered(pages: DataFrame, page: str, order: list[int] | Column, by: list[str] | None = None, strict: bool = False) -> DataFrame:
+    """Pages in a new order; new_page is each one's place in its document, whose pages are numbered from 1.
+
+    order: the page that comes first, second and so on, a permutation of 1 to n; pages past n keep their places, or with
+    strict are an error, as is a document of fewer pages. Or a Column that gives each page's place, over the table's
+    columns and `pages`, the number of the document's; it must give each document a permutation of its pages.
+    """
+    if isinstance(order, Column) or strict:
+        pages = counted_pages(pages, by or [], "pages")
+    if isinstance(order, Column):
+        placed = pages.withColumn("new_page", order.cast("long"))
+        outside = placed.filter(~F.coalesce(F.col("new_page").between(1, F.col("pages")), F.lit(False)))
+        again = placed.groupBy(*(by or []), "new_page").agg(F.count("*").alias("n")).filter("n > 1")
+        if not outside.isEmpty() or not again.isEmpty():
+            raise ValueError("the order isn't a permutation of all pages of each document")
+        return placed.drop("pages")
     if sorted(order) != list(range(1, len(order) + 1)):
         raise ValueError("the order must name each page once")
+    if strict:
+        if not pages.filter(F.col("pages") != len(order)).isEmpty():
+            raise ValueError("the order doesn't name each page of each document")
+        pages = pages.drop("pages")
     place = F.create_map(*[F.lit(x) for k, p in enumerate(order, 1) for x in (p, k)])
     return pages.withColumn("new_page", F.coalesce(F.try_element_at(place, F.col(page).cast("int")), F.col(page)).cast("long"))
 
 
 def deleted(pages: DataFrame, page: str, gone: list[int], by: list[str]) -> DataFrame:
-    """Without the pages named; the others are numbered anew in each document."""
+    """Without the pages named; the others are numbered anew in each document. A document can't lose all of its pages."""
+    left = pages.groupBy(*by).agg(F.count_if(~F.col(page).isin(*gone)).alias("n"))
+    if not left.filter("n = 0").isEmpty():
+        raise ValueError("a document would lose all of its pages")
     kept = pages.filter(~F.col(page).isin(*gone))
     return kept.withColumn(page, F.row_number().over(W.partitionBy(*by).orderBy(page)).cast("long"))
 
 
-def inserted(pages: DataFrame, page: str, at: int, new: DataFrame) -> DataFrame:
-    """New pages before page `at`; later ones move on."""
-    n = new.agg(F.count("*").alias("__n"))
-    moved = pages.join(F.broadcast(n), F.lit(True), "left").withColumn(page, F.when(F.col(page) >= at, F.col(page) + F.col("__n")).otherwise(F.col(page))).drop("__n")
+def inserted(pages: DataFrame, page: str, at: int, new: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """New pages before page `at`, of each document or of the only one; later ones move on."""
+    n = written(new.groupBy(*(by or [])).agg(F.count("*").alias("__n")), "new-pages")
+    if by:
+        some = join_groups(pages, n, by)
+        none = pages.join(n, [F.col(f"`{b}`") == n[b] for b in by], "left_anti").withColumn("__n", F.lit(0).cast("long"))
+        counted = some.unionByName(none)
+    else:
+        counted = pages.join(F.broadcast(n), F.lit(True), "left")
+    moved = counted.withColumn(page, F.when(F.col(page) >= at, F.col(page) + F.coalesce("__n", F.lit(0))).otherwise(F.col(page))).drop("__n")
     return moved.unionByName(new.withColumn(page, F.col(page) + (at - 1)))
 
 
@@ -128,13 +173,26 @@ def page_numbers(spec: str, last: int) -> list[int]:
     return sorted(out)
 
 
-def in_regions(ops: DataFrame, regions: DataFrame, keep: bool = False) -> DataFrame:
-    """Operators whose origin is in none (or, to report them, in one) of the page's rectangles: an equi-join by page."""
-    r = regions.select(*[F.col(c).alias(f"__{c}") for c in ("page", "x", "y", "width", "height")])
-    inside = (F.col("page") == F.col("__page")) & F.col("x").between(F.col("__x"), F.col("__x") + F.col("__width")) & F.col("y").between(F.col("__y"), F.col("__y") + F.col("__height"))
+def in_regions(ops: DataFrame, regions: DataFrame, keep: bool = False, by: list[str] | None = None) -> DataFrame:
+    """Operators whose origin is in none (or, to report them, in one) of the rectangles of its document's page.
+
+    by: the columns that name the document in both tables; a rectangle of one document touches no other. An equi-join by
+    document and page.
+    """
+    keys = [*(by or []), "page"]
+    r = regions.select(*[F.col(f"`{c}`").alias(f"__{c}") for c in [*keys, "x", "y", "width", "height"]])
+    inside = F.col("x").between(F.col("__x"), F.col("__x") + F.col("__width")) & F.col("y").between(F.col("__y"), F.col("__y") + F.col("__height"))
+    for c in keys:
+        inside = inside & (F.col(f"`{c}`") == F.col(f"__{c}"))
     return ops.join(r, inside, "left_semi" if keep else "left_anti")
 
 
+def stamped(ops: DataFrame, text: str, x: float, y: float, pages: DataFrame, by: list[str], below: bool = False) -> DataFrame:
+    """Operators with a text stamp on each of the pages given: after all others of its page, or below them. ops: by, page, seq, x, y, text."""
+    stamp = pages.select(*by, "page").distinct().select(*by, "page", F.lit(-1 if below else (1 << 31) - 1).cast(ops.schema["seq"].dataType).alias("seq"), F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y"), F.lit(text).alias("text"))
+    return ops.select(*by, "page", "seq", "x", "y", "text").unionByName(stamp)
+
+
 def roman(n: Column) -> Column:
     from ..functions.maths import roman_text
 
@@ -146,20 +204,28 @@ def alphabetic(n: Column) -> Column:
     return F.repeat(F.char(F.lit(65) + (n - 1) % 26), (F.floor((n - 1) / 26) + 1).cast("int"))
 
 
-def labelled(pages: DataFrame, ranges: DataFrame, index: str = "page_index") -> DataFrame:
-    """Adds each page's label from the range that starts last before it; without one, the page number.
+def labelled(pages: DataFrame, ranges: DataFrame, index: str = "page_index", by: list[str] | None = None) -> DataFrame:
+    """Adds each page's label from the range of its document that starts last before it; without one, the page number.
 
-    ranges: start_page_index, style (D, R, r, A, a or null), prefix, first_label_number. As-of join without pairs.
+    ranges: start_page_index, style (D, R, r, A, a or null), prefix, first_label_number, and the document's columns `by`.
+    For one document an as-of join without pairs; for several, each page searches its document's ranges.
     """
     from .lookup import match_ordered
 
     cols = {"__start": "start_page_index", "__style": "style", "__prefix": "prefix", "__first": "first_label_number"}
-    found = match_ordered(pages, index, ranges, "start_page_index", "start_page_index", cols)
+    if by:
+        each = F.array_sort(F.collect_list(F.struct(*[F.col(c).alias(n) for n, c in cols.items()])))  # a document's ranges
+        starts = written(ranges.groupBy(*by).agg(each.alias("__ranges")), "label-ranges")
+        with_ranges = join_groups(pages, starts, by).unionByName(pages.join(starts, [F.col(f"`{b}`") == starts[b] for b in by], "left_anti").withColumn("__ranges", F.lit(None).cast(starts.schema["__ranges"].dataType)))
+        own = F.filter("__ranges", lambda r: r["__start"] <= F.col(index))
+        found = with_ranges.withColumn("__own", F.try_element_at(own, F.lit(-1))).select(*[F.col(f"`{c}`") for c in pages.columns], "__own.*")
+    else:
+        found = match_ordered(pages, index, ranges, "start_page_index", "start_page_index", cols)
     n = (F.col(index) - F.col("__start") + F.col("__first")).cast("int")
     s = F.col("__style")
     body = F.when(s == "D", n.cast("string")).when(s == "R", roman(n)).when(s == "r", F.lower(roman(n))).when(s == "A", alphabetic(n)).when(s == "a", F.lower(alphabetic(n))).otherwise("")
     label = F.when(F.col("__start").isNull(), (F.col(index) + 1).cast("string")).otherwise(F.concat(F.coalesce(F.col("__prefix"), F.lit("")), body))
-    return found.select(*pages.columns, label.alias("label"))
+    return found.select(*[F.col(f"`{c}`") for c in pages.columns], label.alias("label"))
 
 
 def page_text(spans: DataFrame, by: list[str]) -> DataFrame:
@@ -185,21 +251,31 @@ def with_authors(comments: DataFrame, authors: DataFrame) -> DataFrame:
     return comments.join(authors.select("author_id", F.col("name").alias("author")), "author_id")
 
 
-def tree_paths(edges: DataFrame, root: str = "0", most_depth: int = 64) -> DataFrame:
-    """(id, parent, depth, path) of an adjacency list (parent, id, ord) from a root: one join for each level, up to a bound.
+def tree_paths(edges: DataFrame, root: str = "0", by: list[str] | None = None) -> DataFrame:
+    """(by, id, parent, depth, path) of an adjacency list (by, parent, id, ord) from a root, however deep.
 
-    A node on a cycle is met once for each level up to the bound and only its first place is kept.
+    One join for each level, and a table. A node that is met again, by a cycle or from a second parent, keeps its first
+    place: that of the least depth, then of the first path.
     """
-    e = edges.select(F.col("parent").cast("string"), F.col("id").cast("string"), F.col("ord").cast("long"))
-    level = e.filter(F.col("parent") == root).select("id", "parent", F.lit(1).alias("depth"), F.format_string("%06d", "ord").alias("path"))
-    out = level
-    for depth in range(2, most_depth + 1):
-        if level.isEmpty():
-            break
-        up = level.select(F.col("id").alias("__id"), F.col("path").alias("__path"))
-        level = e.join(up, F.col("parent") == F.col("__id")).select("id", "parent", F.lit(depth).alias("depth"), F.concat(F.col("__path"), F.lit("/"), F.format_string("%06d", "ord")).alias("path"))
+    by = by or []
+    e = written(edges.select(*by, F.col("parent").cast("string"), F.col("id").cast("string"), F.format_string("%06d", F.col("ord").cast("long")).alias("ord")), "tree-edges")
+    first = lambda df: df.groupBy(*by, "id").agg(F.min(F.struct("path", "parent")).alias("m")).select(*by, "id", "m.parent", "m.path")
+    level = written(first(e.filter(F.col("parent") == root).withColumn("path", F.col("ord"))).withColumn("depth", F.lit(1)), "tree-level")
+    out, depth = level, 1
+    while not level.isEmpty():
+        depth += 1
+        up = level.select(*[F.col(f"`{b}`").alias(f"__{i}") for i, b in enumerate(by)], F.col("id").alias("__id"), F.col("path").alias("__path"))
+        same = F.col("parent") == F.col("__id")
+        for i, b in enumerate(by):
+            same = same & F.col(f"`{b}`").eqNullSafe(F.col(f"__{i}"))
+        down = first(e.join(up, same).withColumn("path", F.concat(F.col("__path"), F.lit("/"), F.col("ord"))))
+        seen = out.select(*[F.col(f"`{b}`").alias(f"__{i}") for i, b in enumerate(by)], F.col("id").alias("__id"))
+        met = F.col("id") == F.col("__id")
+        for i, b in enumerate(by):
+            met = met & F.col(f"`{b}`").eqNullSafe(F.col(f"__{i}"))
+        level = written(down.filter(F.col("id") != root).join(seen, met, "left_anti").withColumn("depth", F.lit(depth)), "tree-level")
         out = out.unionByName(level)
-    return out
+    return out.select(*by, "id", "parent", "depth", "path")
 
 
 # Rules: each one is a predicate over a table of document facts.
@@ -215,29 +291,102 @@ def skipped_headings(headings: DataFrame, by: list[str], order: str, level: str
     return headings.withColumn("previous", F.coalesce(before, F.lit(0))).filter(F.col(level) > F.col("previous") + 1)
 
 
-# Conformance rules of archival documents, over columns of document facts.
+# Annotations and actions that archives refuse, and the standard types of structure elements.
+REFUSED_ANNOTATIONS = ("Sound", "Movie", "Screen", "FileAttachment", "3D")
+REFUSED_ACTIONS = ("Launch", "Sound", "Movie", "ResetForm", "ImportData", "JavaScript", "SetOCGState", "Trans", "GoTo3DView")
+STRUCTURE_TYPES = (
+    "Document", "Part", "Art", "Sect", "Div", "BlockQuote", "Caption", "TOC", "TOCI", "Index", "NonStruct", "Private", "H", "H1", "H2", "H3", "H4", "H5", "H6", "P", "L", "LI", "LBody",
+    "Table", "TR", "TH", "TD", "THead", "TBody", "TFoot", "Span", "Quote", "Note", "Reference", "BibEntry", "Code", "Link", "Annot", "Ruby", "Warichu", "Figure", "Formula", "Form",
+)
+
+
+def any_of(names: tuple[str, ...]) -> str:
+    return ", ".join(f"'{n}'" for n in names)
+
+
+# Rules by id and severity over facts, a row for each document, object, page, annotation, action or
+# structure element (`scope`). A predicate holds where the rule is broken; {version} and the like are the profile's.
 ARCHIVE_RULES = [
-    ("6.1.2", "error", "The version is above 1.4.", "version > 1.4"),
-    ("6.1.3", "error", "The document is encrypted.", "encrypted"),
-    ("6.1.3", "error", "The file has no identifier.", "not has_id"),
-    ("6.1.10", "error", "A stream uses LZW.", "uses_lzw"),
-    ("6.2.2", "warning", "There is no output intent.", "not has_output_intent"),
-    ("6.3.3", "error", "A font isn't embedded.", "unembedded_fonts > 0"),
-    ("6.4", "error", "Transparency is used.", "uses_transparency"),
-    ("6.6.1", "error", "There is an action that isn't allowed.", "has_actions"),
-    ("6.7.2", "error", "There is no XMP metadata.", "not has_xmp"),
-    ("6.8", "error", "There are attachments.", "attachments > 0"),
+    ("6.1", "error", "The file can't be read.", "scope = 'document' and not parsed"),
+    ("6.1.2", "error", "The file doesn't begin with a version.", "scope = 'document' and parsed and version is null"),
+    ("6.1.2", "error", "The version is above the profile's.", "scope = 'document' and version > {version}"),
+    ("6.1.3", "error", "The document is encrypted.", "scope = 'document' and encrypted"),
+    ("6.1.3", "error", "The file has no identifier.", "scope = 'document' and parsed and not has_id"),
+    ("6.1.10", "error", "A stream uses LZW.", "scope = 'object' and uses_lzw"),
+    ("6.2.2", "warning", "There is no output intent.", "scope = 'document' and parsed and not has_output_intent"),
+    ("6.3.3", "error", "A font isn't embedded.", "scope = 'object' and unembedded_font"),
+    ("6.4", "error", "There is a soft mask.", "{transparency} and scope = 'object' and soft_mask"),
+    ("6.4", "error", "The blend mode isn't normal.", "{transparency} and scope = 'object' and blend_mode not in ('Normal', 'Compatible')"),
+    ("6.4", "error", "Strokes let light through.", "{transparency} and scope = 'object' and stroke_alpha < 1"),
+    ("6.4", "error", "Fills let light through.", "{transparency} and scope = 'object' and fill_alpha < 1"),
+    ("6.5.3", "error", "The annotation's type isn't allowed.", f"scope = 'annotation' and subtype in ({any_of(REFUSED_ANNOTATIONS)})"),
+    ("6.5.3", "error", "The annotation isn't printed.", "scope = 'annotation' and subtype <> 'Widget' and not printed"),
+    ("6.5.4", "error", "A field has no appearance.", "scope = 'annotation' and subtype = 'Widget' and not has_appearance"),
+    ("6.6.1", "error", "The document has additional actions.", "scope = 'document' and has_additional_actions"),
+    ("6.6.2", "error", "The action isn't allowed.", f"scope = 'action' and subtype in ({any_of(REFUSED_ACTIONS)})"),
+    ("6.7.2", "error", "There is no XMP metadata.", "scope = 'document' and parsed and not has_xmp"),
+    ("6.7.2", "error", "The metadata isn't well-formed.", "scope = 'document' and has_xmp and not xmp_parsed"),
+    ("6.7.2", "error", "The metadata doesn't name the profile's part.", "scope = 'document' and xmp_parsed and coalesce(xmp_part, '') <> '{part}'"),
+    ("6.7.2", "error", "The metadata doesn't name the profile's level.", "scope = 'document' and xmp_parsed and upper(coalesce(xmp_conformance, '')) <> '{level}'"),
+    ("6.8", "error", "There are attachments.", "{attachments} and scope = 'document' and has_attachments"),
+    ("6.8", "error", "The document is a collection.", "scope = 'document' and is_collection"),
 ]
 ACCESS_RULES = [
-    ("7.2", "error", "The document isn't marked.", "not marked"),
-    ("7.3", "error", "There is no title.", "title is null or title = ''"),
-    ("7.4", "error", "There is no language.", "lang is null or lang = ''"),
-    ("7.5", "error", "There is no structure tree.", "not has_structure"),
-    ("7.7", "error", "A figure has no alternate text.", "figures_without_alt > 0"),
-    ("7.17", "warning", "There is no XMP metadata.", "not has_xmp"),
+    ("7.1", "error", "The file can't be read.", "scope = 'document' and not parsed"),
+    ("7.1", "error", "The file names no version from 1.4 on.", "scope = 'document' and parsed and coalesce(version, 0) < 1.4"),
+    ("7.2", "error", "The document says nothing of marks.", "scope = 'document' and parsed and not has_mark_info"),
+    ("7.2", "error", "The document isn't marked.", "scope = 'document' and has_mark_info and not marked"),
+    ("7.3", "error", "The title isn't shown.", "scope = 'document' and parsed and not shows_title"),
+    ("7.3", "warning", "There is no title.", "scope = 'document' and parsed and not has_title"),
+    ("7.4", "error", "There is no language.", "scope = 'document' and parsed and trim(coalesce(lang, '')) = ''"),
+    ("7.5", "error", "There is no structure tree.", "scope = 'document' and parsed and not has_structure"),
+    ("7.5", "error", "The structure has no parent tree.", "scope = 'document' and has_structure and not has_parent_tree"),
+    ("7.5", "error", "The structure is empty.", "scope = 'document' and has_structure and not has_elements"),
+    ("7.6", "error", "A role maps to no name.", "scope = 'role' and subtype is null"),
+    ("7.6", "warning", "A role maps to a type that isn't standard.", f"scope = 'role' and subtype not in ({any_of(STRUCTURE_TYPES)})"),
+    ("7.7", "error", "A figure has no alternate text.", "scope = 'element' and subtype in ('Figure', 'Formula', 'Form') and not has_alternate"),
+    ("7.7", "warning", "A field has no name for readers.", "scope = 'annotation' and subtype = 'Widget' and not has_tooltip"),
+    ("7.8", "warning", "A heading's level is skipped.", "scope = 'element' and level > previous_level + 1"),
+    ("7.9", "warning", "A table has no row.", "scope = 'element' and subtype = 'Table' and not array_contains(kids, 'TR')"),
+    ("7.10", "warning", "A list's item has no body.", "scope = 'element' and subtype = 'LI' and in_list and not array_contains(kids, 'LBody')"),
+    ("7.11", "error", "A page's content isn't marked.", "scope = 'page' and draws and not has_marks"),
+    ("7.13", "warning", "An annotation can't be described.", "scope = 'annotation' and subtype not in ('Popup', 'Link') and not has_contents and not has_tooltip"),
+    ("7.13", "warning", "The page of an annotation has no tab order.", "scope = 'annotation' and not page_has_tabs"),
+    ("7.14", "warning", "The document has additional actions.", "scope = 'document' and has_additional_actions"),
+    ("7.14", "error", "The document opens with a script.", "scope = 'document' and open_action = 'JavaScript'"),
+    ("7.17", "error", "There is no XMP metadata.", "scope = 'document' and parsed and not has_xmp"),
+    ("7.17", "error", "The metadata doesn't name the standard.", "scope = 'document' and has_xmp and not xmp_names_access"),
+    ("7.17", "error", "The metadata's part isn't 1.", "scope = 'document' and xmp_names_access and not xmp_access_part"),
 ]
-
-
-def conformance(facts: DataFrame, id_col: str, rules: list[tuple[str, str, str, str]]) -> DataFrame:
-    """Violations of the rules that are given over the columns there are."""
-    return violations(facts, id_col, [(r, s, d, F.coalesce(F.expr(p), F.lit(False))) for r, s, d, p in rules])
+# What the profiles ask for.
+PROFILES = {
+    "A1B": {"version": "1.4", "part": "1", "level": "B", "transparency": "true", "attachments": "true"},
+    "A1A": {"version": "1.4", "part": "1", "level": "A", "transparency": "true", "attachments": "true"},
+    "A2B": {"version": "1.7", "part": "2", "level": "B", "transparency": "false", "attachments": "true"},
+    "A2U": {"version": "1.7", "part": "2", "level": "A", "transparency": "false", "attachments": "true"},
+    "A3B": {"version": "1.7", "part": "3", "level": "B", "transparency": "false", "attachments": "false"},
+}
+
+
+#: Types of the facts that are no truth.
+FACT_TYPES = {"scope": "string", "subtype": "string", "version": "double", "lang": "string", "blend_mode": "string", "stroke_alpha": "double", "fill_alpha": "double", "xmp_part": "string", "xmp_conformance": "string", "open_action": "string", "level": "int", "previous_level": "int", "kids": "array<string>"}
+# What a fact is taken from where a table doesn't have it.
+DERIVED = {"scope": "'document'", "parsed": "true", "has_title": "title is not null and title <> ''", "has_mark_info": "marked is not null", "printed": "(flags & 4) <> 0"}
+FACT = re.compile(r"'[^']*'|\b(?:and|or|not|is|null|in|coalesce|trim|upper|array_contains|true|false)\b|([a-z_]+)")
+
+
+def conformance(facts: DataFrame, id_col: str, rules: list[tuple[str, str, str, str]], profile: str = "A1B") -> DataFrame:
+    """Violations of the rules that are given, in one scan. A fact that is null, or that the table doesn't have, breaks no rule."""
+    asked = PROFILES[profile]
+    filled = [(r, s, d, re.sub(r"\{(\w+)\}", lambda m: asked[m[1]], p)) for r, s, d, p in rules]
+    have = set(facts.columns)
+    for name in sorted({m[1] for *_, p in filled for m in FACT.finditer(p) if m[1]} - have):
+        source = DERIVED.get(name, "null")
+        known = all(m[1] in have for m in FACT.finditer(source) if m[1])
+        facts = facts.withColumn(name, F.expr(source if known else "null").cast(FACT_TYPES.get(name, "boolean")))
+    return violations(facts, id_col, [(r, s, d, F.coalesce(F.expr(p), F.lit(False))) for r, s, d, p in filled])
+
+
+def ordered_violations(found: DataFrame) -> DataFrame:
+    """Errors before warnings, then by rule."""
+    return found.orderBy(F.when(F.col("severity") == "error", 0).otherwise(1), "rule_id")
