@@ -6,13 +6,14 @@ Numbers and booleans count; blanks, texts and errors in a range are left out. Th
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .maths import num, whole
 from .registry import AGGREGATE, LOOKUP, function
-from .values import BLANK, BOOLEAN, DIV0, ERROR, NA, NUM, NUMBER, Val, errors_of, fails, merged, number, to_num
+from .values import ANY, BLANK, BOOLEAN, DIV0, ERROR, NA, NUM, NUMBER, RANGE, Val, cell_num, countable_cell, errors_of, fails, is_blank, merged, number, to_num
 
 #: name -> function of (values, extra arguments) over a column; values are null where a cell doesn't count.
 VERTICAL: dict[str, Callable[..., Val]] = {}
@@ -20,16 +21,25 @@ VERTICAL: dict[str, Callable[..., Val]] = {}
 
 def countable(v: Val) -> Column:
     """A cell as a number, null where it is no number or boolean."""
+    if v.kind == ANY:
+        return F.when(countable_cell(v.col), cell_num(v.col))
     return F.when(v.col.isNotNull(), to_num(v)) if v.kind in (NUMBER, BOOLEAN) else F.lit(None).cast("double")
 
 
 def anything(v: Val) -> Column:
     """A cell as a number, null where it is blank."""
-    return F.lit(None).cast("double") if v.kind in (BLANK, ERROR) else F.when(v.col.isNotNull(), to_num(v))
+    return F.lit(None).cast("double") if v.kind in (BLANK, ERROR) else F.when(~is_blank(v), to_num(v))
 
 
 def numbers(args: list[Val], cell=countable) -> Column:
-    return F.filter(F.array(*[cell(a) for a in args]), lambda x: x.isNotNull()) if args else F.array().cast("array<double>")
+    """The numbers of the arguments, those of ranges among them; cell says what a cell counts for."""
+    if not args:
+        return F.array().cast("array<double>")
+    if all(a.kind != RANGE for a in args):
+        return F.filter(F.array(*[cell(a) for a in args]), lambda x: x.isNotNull())
+    # An error in a range is passed over.
+    lists = [F.transform(a.col, lambda s: cell(Val(ANY, s))) if a.kind == RANGE else F.array(cell(a)) for a in args]
+    return F.filter(F.concat(*[x.cast("array<double>") for x in lists]), lambda x: x.isNotNull())
 
 
 def total(a: Column) -> Column:
@@ -89,8 +99,8 @@ for names, horizontal, vertical in (("MINA", F.array_min, F.min), ("MAXA", F.arr
     column(names, lambda x, fn=vertical: F.coalesce(fn(x), F.lit(0.0)))
 row("AVERAGEA", mean, empty, cell=anything)
 column("AVERAGEA", F.avg, none)
-row("COUNTA", F.size, cell=lambda v: F.when(v.col.isNotNull() if v.kind not in (BLANK, ERROR) else F.lit(v.kind == ERROR), F.lit(1.0)))
-row("COUNTBLANK", F.size, cell=lambda v: F.when(v.col.isNull() if v.kind != BLANK else F.lit(True), F.lit(1.0)))
+row("COUNTA", F.size, cell=lambda v: F.when(~is_blank(v), F.lit(1.0)))
+row("COUNTBLANK", F.size, cell=lambda v: F.when(is_blank(v), F.lit(1.0)))
 column("COUNTA", F.count)
 column("COUNTBLANK", lambda x: F.sum(x.isNull().cast("long")))
 
@@ -221,6 +231,11 @@ column("RANK RANK.EQ RANK.AVG", lambda x, v, up=None: F.count_if(x > v) + 1, lam
 
 @function("SUMPRODUCT", "math", AGGREGATE, "(array1, [array2], ...)")
 def sum_product(args: list[Val]) -> Val:
+    if any(a.kind == RANGE for a in args):
+        lists = [F.transform(a.col, lambda s: F.coalesce(cell_num(s), F.lit(0.0))) if a.kind == RANGE else F.array(to_num(a)) for a in args]
+        size = F.least(*[F.size(x) for x in lists]) if len(lists) > 1 else F.size(lists[0])
+        products = reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x * y), [F.slice(x, F.lit(1), size) for x in lists])
+        return number(total(products), errors_of(args))
     out = F.lit(1.0)
     for a in args:
         out = out * to_num(a)

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from .maths import num, whole
 from .registry import LAZY, function
-from .values import BLANK, BOOLEAN, ERROR, NA, NUMBER, TEXT, VALUE, Val, boolean, errors_of, number, text, to_bool, to_num, to_text
+from .values import ANY, BLANK, BOOLEAN, ERROR, NA, NUMBER, RANGE, TEXT, VALUE, Val, boolean, by_kind, cell_of, errors_of, is_blank, number, text, to_bool, to_num, to_text
 
 
 def as_kind(v: Val, kind: str) -> Column:
+    if kind == ANY:
+        return cell_of(v)
     if v.kind in (ERROR, BLANK):
         return F.lit(None)
     return v.col if v.kind == kind else to_text(v) if kind == TEXT else to_num(v)
@@ -22,7 +24,7 @@ def chosen(cases: list[tuple[Column, Val]], default: Val | None, first_error: Co
     """The value of the first case that holds, of a kind that fits all; without any, the default or #N/A."""
     values = [v for _, v in cases] + ([default] if default else [])
     kinds = {v.kind for v in values} - {ERROR, BLANK}
-    kind = kinds.pop() if len(kinds) == 1 else TEXT if TEXT in kinds else NUMBER
+    kind = ANY if kinds & {ANY, RANGE} else kinds.pop() if len(kinds) == 1 else TEXT if TEXT in kinds else NUMBER
     col = err = None
     for cond, v in cases:
         c, e = as_kind(v, kind), v.err if v.err is not None else F.lit(None).cast("string")
@@ -31,7 +33,7 @@ def chosen(cases: list[tuple[Column, Val]], default: Val | None, first_error: Co
     col = col.otherwise(as_kind(default, kind)) if default else col
     err = err.otherwise(default.err if default.err is not None else F.lit(None).cast("string")) if default else err.otherwise(F.lit(NA))
     err = err if first_error is None else F.coalesce(first_error, err)
-    return {TEXT: text, BOOLEAN: boolean}.get(kind, number)(col, err)
+    return Val(ANY, col, err) if kind == ANY else {TEXT: text, BOOLEAN: boolean}.get(kind, number)(col, err)
 
 
 @function("IF", "logical", LAZY, "(logical_test, value_if_true, value_if_false)")
@@ -52,9 +54,7 @@ def ifs(args: list[Val]) -> Val:
 
 def same(a: Val, b: Val) -> Column:
     """Equality of scalars: numbers by value, else texts without regard to case."""
-    if a.kind != TEXT and b.kind != TEXT:
-        return to_num(a) == to_num(b)
-    return F.lower(to_text(a)) == F.lower(to_text(b))
+    return by_kind(a, b, lambda x, y: x == y)
 
 
 @function("SWITCH", "logical", LAZY, "(expr, value1, result1, ..., [default])")
@@ -89,11 +89,19 @@ def if_na(args: list[Val]) -> Val:
     return caught(args, NA)
 
 
-def folded(args: list[Val], fn) -> Val:
-    """Over arguments that aren't blank."""
+def folded(args: list[Val], fn, over=None) -> Val:
+    """Over arguments that aren't blank; with ranges among them, over the list of all truths."""
+    if any(a.kind in (RANGE, ANY) for a in args):
+        lists = [F.transform(a.col, truth) if a.kind == RANGE else F.array(F.when(~is_blank(a), to_bool(a))) for a in args]
+        return boolean(over(F.filter(F.concat(*lists), lambda x: x.isNotNull())), errors_of(args))
     return boolean(fn([F.when(a.col.isNotNull(), to_bool(a)) if a.kind != BLANK else F.lit(None).cast("boolean") for a in args]), errors_of(args))
 
 
+def truth(s: Column) -> Column:
+    """A cell of a range, null where it is blank or an error."""
+    return F.when(~s["kind"].isin(BLANK, ERROR), to_bool(Val(ANY, s)))
+
+
 @function("AND", "logical", signature="(logical1, [logical2], ...)")
 def and_(args: list[Val]) -> Val:
     """Without any value, false."""
@@ -102,17 +110,17 @@ def and_(args: list[Val]) -> Val:
         seen = F.coalesce(*cols).isNotNull()
         return seen & reduce(lambda a, b: a & b, [F.coalesce(c, F.lit(True)) for c in cols])
 
-    return folded(args, fn)
+    return folded(args, fn, lambda a: (F.size(a) > 0) & F.forall(a, lambda x: x))
 
 
 @function("OR", "logical", signature="(logical1, [logical2], ...)")
 def or_(args: list[Val]) -> Val:
-    return folded(args, lambda cols: reduce(lambda a, b: a | b, [F.coalesce(c, F.lit(False)) for c in cols]))
+    return folded(args, lambda cols: reduce(lambda a, b: a | b, [F.coalesce(c, F.lit(False)) for c in cols]), lambda a: F.exists(a, lambda x: x))
 
 
 @function("XOR", "logical", signature="(logical1, [logical2], ...)")
 def xor(args: list[Val]) -> Val:
-    return folded(args, lambda cols: reduce(lambda a, b: a + b, [F.coalesce(c, F.lit(False)).cast("int") for c in cols]) % 2 == 1)
+    return folded(args, lambda cols: reduce(lambda a, b: a + b, [F.coalesce(c, F.lit(False)).cast("int") for c in cols]) % 2 == 1, lambda a: F.size(F.filter(a, lambda x: x)) % 2 == 1)
 
 
 @function("NOT", "logical", signature="(logical)")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .maths import num, whole
 from .numberformat import custom_text, fixed_text, format_value
 from .registry import function
-from .values import TEXT, VALUE, Val, boolean, errors_of, fails, merged, number, parse_number, text, to_bool, to_num, to_text
+from .values import ANY, BLANK, RANGE, TEXT, VALUE, Val, boolean, cell_text, errors_of, fails, first_cell, is_blank, merged, number, parse_number, text, to_bool, to_num, to_text
 
 
 def txt(args: list[Val], i: int) -> Column:
@@ -63,14 +63,19 @@ def mid(args: list[Val]) -> Val:
 
 @function("CONCATENATE CONCAT", "text", signature="(text1, [text2], ...)")
 def concat(args: list[Val]) -> Val:
-    return text(F.concat(*[to_text(a) for a in args]) if args else F.lit(""), errors_of(args))
+    each = [F.array_join(F.transform(a.col, cell_text), "") if a.kind == RANGE else to_text(a) for a in args]
+    return text(F.concat(*each) if args else F.lit(""), errors_of(args))
 
 
 @function("TEXTJOIN", "text", signature="(delimiter, ignore_empty, text1, ...)")
 def text_join(args: list[Val]) -> Val:
     """Only blanks are left out, not empty texts."""
     skip = to_bool(args[1]) if len(args) > 1 else F.lit(False)
-    parts = [F.when(skip & a.col.isNull(), F.lit(None)).otherwise(F.coalesce(to_text(a), F.lit(""))) for a in args[2:]]
+    if any(a.kind == RANGE for a in args[2:]):
+        part = lambda s: F.when(~(skip & (s["kind"] == BLANK)), cell_text(s))
+        lists = [F.transform(a.col, part) if a.kind == RANGE else F.array(F.when(~(skip & is_blank(a)), to_text(a))) for a in args[2:]]
+        return text(F.call_function("array_join", F.filter(F.concat(*lists), lambda x: x.isNotNull()), txt(args, 0)), errors_of(args))
+    parts = [F.when(skip & is_blank(a), F.lit(None)).otherwise(F.coalesce(to_text(a), F.lit(""))) for a in args[2:]]
     return text(joined(txt(args, 0), parts), errors_of(args))
 
 
@@ -169,6 +174,9 @@ def text_format(args: list[Val], literal: str | None = None) -> Val:
 
 @function("T", "text", signature="(value)")
 def t(args: list[Val]) -> Val:
+    if args and args[0].kind in (ANY, RANGE):
+        s = args[0].col if args[0].kind == ANY else first_cell(args[0].col)
+        return text(F.when(s["kind"] == TEXT, s["txt"]).otherwise(F.lit("")), errors_of(args))
     return text(F.coalesce(args[0].col, F.lit("")) if args and args[0].kind == TEXT else F.lit(""), errors_of(args))
 
 

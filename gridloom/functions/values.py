@@ -17,6 +17,8 @@ NUMBER, TEXT, BOOLEAN, ERROR, BLANK = "number", "text", "boolean", "error", "bla
 #: A rectangle of cells, row by row: an array of CELL.
 RANGE = "range"
 CELL = "struct<kind:string,num:double,txt:string,bool:boolean,err:string>"
+#: A value whose kind is known only where it is evaluated: a CELL.
+ANY = "any"
 
 # Error literals in the order of their numbers, 1 to 7.
 ERRORS = ["#NULL!", "#DIV/0!", "#VALUE!", "#REF!", "#NAME?", "#NUM!", "#N/A"]
@@ -79,8 +81,68 @@ def parse_number(s: Column) -> Column:
     return F.regexp_replace(F.trim(s), r"(?<=\d),(?=\d)", "").try_cast("double")
 
 
+def cell_num(s: Column) -> Column:
+    """A cell's number, null if it has none."""
+    return F.when(s["kind"] == NUMBER, s["num"]).when(s["kind"] == BOOLEAN, s["bool"].cast("double")).when(s["kind"] == TEXT, parse_number(s["txt"]))
+
+
+def cell_text(s: Column) -> Column:
+    return F.when(s["kind"] == TEXT, s["txt"]).when(s["kind"] == NUMBER, general(s["num"])).when(s["kind"] == BOOLEAN, F.when(s["bool"], "TRUE").otherwise("FALSE")).otherwise(F.lit(""))
+
+
+def countable_cell(s: Column) -> Column:
+    """Whether a cell counts as a number."""
+    return F.coalesce(s["kind"].isin(NUMBER, BOOLEAN), F.lit(False))
+
+
+def cell_of(v: Val) -> Column:
+    """Any value as a CELL; null is a blank, an error keeps its code."""
+    if v.kind == ANY:
+        return v.col
+    if v.kind == RANGE:
+        return first_cell(v.col)
+    none = {"num": "double", "txt": "string", "bool": "boolean"}
+    own = {NUMBER: "num", TEXT: "txt", BOOLEAN: "bool"}.get(v.kind)
+    fields = [(v.col if k == own else F.lit(None)).cast(t).alias(k) for k, t in none.items()]
+    err = F.lit(None).cast("string") if v.err is None else v.err
+    kind = F.when(err.isNotNull(), ERROR).when(v.col.isNull() if own else F.lit(True), BLANK).otherwise(F.lit(v.kind))
+    return F.struct(kind.alias("kind"), *fields, err.alias("err"))
+
+
+def first_cell(cells: Column) -> Column:
+    blank = F.struct(F.lit(BLANK).alias("kind"), F.lit(None).cast("double").alias("num"), F.lit(None).cast("string").alias("txt"), F.lit(None).cast("boolean").alias("bool"), F.lit(None).cast("string").alias("err"))
+    return F.coalesce(F.get(cells, F.lit(0)), blank)
+
+
+def of_cell(s: Column) -> Val:
+    return Val(ANY, s, s["err"])
+
+
+def is_blank(v: Val) -> Column:
+    """Whether a value holds nothing."""
+    if v.kind == ANY:
+        return F.coalesce(v.col["kind"] == BLANK, v.err.isNull() if v.err is not None else F.lit(True))
+    return F.lit(True) if v.kind == BLANK else F.lit(False) if v.kind == ERROR else v.col.isNull()
+
+
+def is_textual(v: Val) -> Column | None:
+    """Whether a value is a text: None if that is known to be so or not."""
+    return F.coalesce(v.col["kind"] == TEXT, F.lit(False)) if v.kind == ANY else None
+
+
+def by_kind(a: Val, b: Val, compare) -> Column:
+    """A comparison of two values: as numbers, or as texts without regard to case if either is one."""
+    texts, nums = compare(F.upper(to_text(a)), F.upper(to_text(b))), compare(to_num(a), to_num(b))
+    if TEXT in (a.kind, b.kind):
+        return texts
+    some = [t for t in (is_textual(a), is_textual(b)) if t is not None]
+    return F.when(reduce(lambda x, y: x | y, some), texts).otherwise(nums) if some else nums
+
+
 def to_num(v: Val) -> Column:
-    """Booleans as 1 and 0, blanks and texts that are no number as 0."""
+    """Booleans as 1 and 0, blanks and texts that are no number as 0; a range is its first cell."""
+    if v.kind in (ANY, RANGE):
+        return F.coalesce(cell_num(v.col if v.kind == ANY else first_cell(v.col)), F.lit(0.0))
     if v.kind == NUMBER:
         c = v.col
     elif v.kind == BOOLEAN:
@@ -109,6 +171,8 @@ def general(x: Column) -> Column:
 
 
 def to_text(v: Val) -> Column:
+    if v.kind in (ANY, RANGE):
+        return cell_text(v.col if v.kind == ANY else first_cell(v.col))
     if v.kind == TEXT:
         c = v.col
     elif v.kind == NUMBER:
@@ -122,6 +186,9 @@ def to_text(v: Val) -> Column:
 
 def to_bool(v: Val) -> Column:
     """Numbers other than 0, and the texts true and false; all else is false."""
+    if v.kind in (ANY, RANGE):
+        s = v.col if v.kind == ANY else first_cell(v.col)
+        return F.coalesce(F.when(s["kind"] == NUMBER, s["num"] != 0).when(s["kind"] == BOOLEAN, s["bool"]).when(s["kind"] == TEXT, F.lower(F.trim(s["txt"])) == "true"), F.lit(False))
     if v.kind == BOOLEAN:
         c = v.col
     elif v.kind == NUMBER:

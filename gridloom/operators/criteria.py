@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.values import BOOLEAN, NUMBER, TEXT, Val, lit, to_num, to_text
+from ..functions.values import ANY, BOOLEAN, NUMBER, TEXT, Val, countable_cell, lit, to_num, to_text
 
 SIGNS = ("<>", ">=", "<=", ">", "<", "=")
 
@@ -35,8 +35,10 @@ def criterion(cell: Val, wanted: object) -> Column:
     operand = wanted[len(sign) :]
     as_text = compared(F.upper(to_text(cell)), sign or "=", F.lit(operand.upper()))
     n = as_number(operand) if sign else None
-    if n is None or cell.kind not in (NUMBER, BOOLEAN):
+    if n is None or cell.kind not in (NUMBER, BOOLEAN, ANY):
         return as_text
+    if cell.kind == ANY:
+        return F.when(countable_cell(cell.col), compared(to_num(cell), sign, F.lit(n))).otherwise(as_text)
     as_numbers = compared(to_num(cell), sign, F.lit(n))
     return as_numbers & cell.col.isNotNull() if sign != "<>" else as_numbers | cell.col.isNull()
 
@@ -48,11 +50,15 @@ def criterion_of(cell: Val, wanted: Val) -> Column:
     text = to_text(wanted)
     sign = F.regexp_extract(text, "^(<>|>=|<=|>|<|=)", 1)
     operand = F.substr(text, F.length(sign) + 1)
-    by_sign = lambda a, b: F.when(sign == "", a == b).when(sign == "<>", a != b).when(sign == ">=", a >= b).when(sign == "<=", a <= b).when(sign == ">", a > b).when(sign == "<", a < b).otherwise(a == b)
+    let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+    chain = lambda a, b: F.when(sign == "", a == b).when(sign == "<>", a != b).when(sign == ">=", a >= b).when(sign == "<=", a <= b).when(sign == ">", a > b).when(sign == "<", a < b).otherwise(a == b)
+    by_sign = lambda a, b: let(a, lambda x: let(b, lambda y: chain(x, y)))
     as_text = by_sign(F.upper(to_text(cell)), F.upper(operand))
-    if cell.kind not in (NUMBER, BOOLEAN):
+    if cell.kind not in (NUMBER, BOOLEAN, ANY):
         return as_text
     n = F.when(operand.rlike(r"^\s*[-+]?[\d.,]"), F.replace(operand, F.lit(","), F.lit("")).try_cast("double"))
     as_number = by_sign(to_num(cell), n)
+    if cell.kind == ANY:
+        return F.when((sign == "") | n.isNull() | ~countable_cell(cell.col), as_text).otherwise(as_number)
     as_number = F.when(sign == "<>", as_number | cell.col.isNull()).otherwise(as_number & cell.col.isNotNull())
     return F.when((sign == "") | n.isNull(), as_text).otherwise(as_number)

@@ -12,6 +12,7 @@ an expression never holds another one twice and plans grow in proportion to form
 from __future__ import annotations
 
 import itertools
+import operator
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions import aggregates as agg
 from ..functions import registry
-from ..functions.values import BLANK, DIV0, ERROR, NA, NAME, NUM, RANGE, REF, TEXT, Val, boolean, column_value, error, errors_of, fails, lit, merged, number, text, to_bool, to_num, to_text
+from ..functions.values import BLANK, DIV0, ERROR, NA, NAME, NUM, RANGE, REF, TEXT, Val, boolean, by_kind, column_value, error, errors_of, fails, lit, merged, number, text, to_bool, to_num, to_text
 from ..operators.criteria import criterion, criterion_of
 from ..operators.orderstats import folded, kth_values, mean_absolute_deviation, modal_value, quantiles, ranked, trimmed_mean
 from ..shared import SMALL_ROWS, written
@@ -31,6 +32,7 @@ FORMATTED = {"TEXT": 1, "DOLLAR": 1, "FIXED": 1}
 #: Functions of scalars that take columns as well in a summary.
 FOLDING = ("AND", "OR", "XOR", "CONCAT", "CONCATENATE", "TEXTJOIN", "NPV")
 SERIAL = itertools.count(1)
+COMPARISONS = {"=": operator.eq, "<>": operator.ne, "<": operator.lt, ">": operator.gt, "<=": operator.le, ">=": operator.ge}
 
 
 def literal(node: Node) -> object:
@@ -123,9 +125,7 @@ class RowCompiler:
         if op == "&":
             return text(F.concat(to_text(a), to_text(b)), err)
         if op in ("=", "<>", "<", ">", "<=", ">="):
-            texts = a.kind == TEXT or b.kind == TEXT
-            x, y = (F.upper(to_text(a)), F.upper(to_text(b))) if texts else (to_num(a), to_num(b))
-            return boolean({"=": x == y, "<>": x != y, "<": x < y, ">": x > y, "<=": x <= y, ">=": x >= y}[op], err)
+            return boolean(by_kind(a, b, COMPARISONS[op]), err)
         x, y = to_num(a), to_num(b)
         if op == "/":
             return number(F.try_divide(x, y), merged(err, fails(y == 0, DIV0)))
@@ -467,7 +467,7 @@ class SummaryCompiler(RowCompiler):
             errors.append(v.err)
             one = F.array(F.when(v.col.isNull(), F.lit(None).cast("string")).otherwise(to_text(v)))
             lists.append(F.filter(one, lambda t: t.isNotNull()) if skip else F.transform(one, lambda t: F.coalesce(t, F.lit(""))))
-        return text(F.array_join(F.concat(*lists), to_text(delimiter)), merged(*errors))
+        return text(F.call_function("array_join", F.concat(*lists), to_text(delimiter)), merged(*errors))
 
     def do_npv(self, node: Node) -> Val:
         """A range counts as its first cell only."""

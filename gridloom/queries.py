@@ -335,7 +335,7 @@ def doc_page_text(spark, d):
 @query("SELECT 'customer' AS sheet, 1 AS first_row, 1 AS first_col, CAST((SELECT max(c_custkey) FROM customer) + 1 AS INTEGER) AS last_row, 3 AS last_col")
 def grid_used_range(spark, d):
     c = table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
-    return grid.used_range(grid.cells_of(c, "customer", "c_custkey"))
+    return grid.used_range(grid.cells_of(c, "customer", "c_custkey")).drop("workbook")
 
 
 @query("SELECT n_nationkey + 1 AS row, n_name || chr(9) || n_regionkey || '.0' AS line FROM nation")
