@@ -13,10 +13,19 @@ BOMS = [(codecs.BOM_UTF8, "UTF-8"), (codecs.BOM_UTF16_LE, "UTF-16LE"), (codecs.B
 
 
 def sniffed_encoding(spark: SparkSession, path: str) -> str:
-    """The encoding that a file's first bytes tell; UTF-8 without a mark."""
-    head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 3).alias("b")).first()
-    b = bytes(head["b"]) if head and head["b"] is not None else b""
-    return next((name for mark, name in BOMS if b.startswith(mark)), "UTF-8")
+    """The encoding that a file's first bytes tell, of a folder its first file's; UTF-8 without a mark. Three bytes are read."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = [f for f in store.globStatus(at) or []]
+    files = [f for x in files for f in ([x] if x.isFile() else store.listStatus(x.getPath())) if f.isFile() and not f.getPath().getName().startswith(("_", "."))]
+    if not files:
+        return "UTF-8"
+    stream = store.open(min(files, key=lambda f: f.getPath().toString()).getPath())
+    try:
+        head = bytes(b for b in (stream.read() for _ in range(3)) if b >= 0)
+    finally:
+        stream.close()
+    return next((name for mark, name in BOMS if head.startswith(mark)), "UTF-8")
 
 
 def inferred(field: Column, date_format: str | None = None) -> Column:
@@ -30,9 +39,12 @@ def inferred(field: Column, date_format: str | None = None) -> Column:
     return F.struct(kind.alias("kind"), num.alias("num"), F.when(kind == "text", field).alias("txt"), F.when(kind == "boolean", F.lower(s) == "true").alias("bool"))
 
 
-def read_csv(spark: SparkSession, path: str, delimiter: str = ",", encoding: str | None = None, columns: int | None = None) -> DataFrame:
-    """All fields as texts c1, c2, ...; a header row stays a row. Quotes are doubled inside quotes and may hold line ends."""
-    options = {"sep": delimiter, "quote": '"', "escape": '"', "multiLine": True, "header": False, "inferSchema": False, "encoding": encoding or sniffed_encoding(spark, path), "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "emptyValue": "", "nullValue": None}
+def read_csv(spark: SparkSession, path: str, delimiter: str = ",", encoding: str | None = None, columns: int | None = None, split: bool = False) -> DataFrame:
+    """All fields as texts c1, c2, ...; a header row stays a row. Quotes are doubled inside quotes and may hold line ends.
+
+    Such a file is one task. With split, which promises that no quote holds a line end, a large one is read in parts.
+    """
+    options = {"sep": delimiter, "quote": '"', "escape": '"', "multiLine": not split, "header": False, "inferSchema": False, "encoding": encoding or sniffed_encoding(spark, path), "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "emptyValue": "", "nullValue": None}
     reader = spark.read.options(**{k: v for k, v in options.items() if v is not None})
     df = reader.schema(", ".join(f"c{i} string" for i in range(1, columns + 1))).csv(path) if columns else reader.csv(path)
     return df.toDF(*[f"c{i}" for i in range(1, len(df.columns) + 1)])
@@ -70,9 +82,13 @@ def csv_lines(df: DataFrame, delimiter: str = ",", date_format: str | None = Non
     return df.select(*(keep or []), F.concat_ws(delimiter, *fields).alias("line"))
 
 
-def write_csv(df: DataFrame, path: str, line_end: str = "\r\n", **how) -> None:
-    """Part files of lines; each task writes its rows."""
-    csv_lines(df, **how).write.option("lineSep", line_end).text(path)
+def write_csv(df: DataFrame, path: str, line_end: str = "\r\n", encoding: str = "UTF-8", mark: bool = False, **how) -> None:
+    """Part files of lines; each task writes its rows. With mark, each file begins with the mark of its encoding."""
+    lines = csv_lines(df, **how)
+    if mark:
+        first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+        lines = lines.select(F.when(first, F.concat(F.lit("\ufeff"), "line")).otherwise(F.col("line")).alias("line"))
+    lines.write.option("lineSep", line_end).option("encoding", encoding).text(path)
 
 
 def pasted(lines: DataFrame, delimiter: str = "\t") -> DataFrame:
