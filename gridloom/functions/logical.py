@@ -21,10 +21,10 @@ def as_kind(v: Val, kind: str) -> Column:
 
 
 def chosen(cases: list[tuple[Column, Val]], default: Val | None, first_error: Column | None = None) -> Val:
-    """The value of the first case that holds, of a kind that fits all; without any, the default or #N/A."""
+    """The value of the first case that holds, of the kind of all or, with texts among others, each of its own; without any, the default or #N/A."""
     values = [v for _, v in cases] + ([default] if default else [])
     kinds = {v.kind for v in values} - {ERROR, BLANK}
-    kind = ANY if kinds & {ANY, RANGE} else kinds.pop() if len(kinds) == 1 else TEXT if TEXT in kinds else NUMBER
+    kind = kinds.pop() if len(kinds) == 1 and not kinds & {ANY, RANGE} else ANY if kinds & {ANY, RANGE, TEXT} else NUMBER
     col = err = None
     for cond, v in cases:
         c, e = as_kind(v, kind), v.err if v.err is not None else F.lit(None).cast("string")

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..shared import join_hot, written
-from .orderstats import join_groups
+from ..shared import join_hot, running, written
+from .orderstats import join_groups, without_groups
 
 LINE_GAP, WORD_GAP = 2.0, 1.0
 
@@ -82,6 +83,83 @@ def deduplicated(df: DataFrame, id_col: str, data: Column) -> DataFrame:
     return df.join(d, F.col(id_col) == F.col("__keep"), "left_semi")
 
 
+def likely_duplicates(df: DataFrame, id_col: str, data: Column) -> DataFrame:
+    """(id, key, canonical): the smallest id with the same length and the same first and last 64 bytes. Contents that differ only between those fall together; duplicates() doesn't take that chance."""
+    b = data.cast("binary")
+    tail = F.when(F.length(b) > 128, F.substring(b, -64, 64)).otherwise(F.lit(b""))
+    key = F.concat(F.length(b).cast("string"), F.lit(":"), F.base64(F.substring(b, 1, 64)), F.base64(tail))
+    marked = df.select(F.col(id_col).alias("id"), key.alias("key"))
+    first = written(marked.filter("key is not null").groupBy("key").agg(F.min("id").alias("canonical"), F.count("*").alias("n")), "likely")
+    found = join_hot(marked, first.select("key", "canonical"), "key", first.select("key", "n")).select("id", "key", "canonical")
+    return found.unionByName(marked.filter("key is null").select("id", "key", F.col("id").alias("canonical")))
+
+
+def interned(df: DataFrame, columns: list[str], pos: str, name: str = "style") -> tuple[DataFrame, DataFrame]:
+    """The rows with a number for each combination of columns, and the combinations by number: from 0, in the order first seen."""
+    key = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    seen = df.groupBy(*columns).agg(F.min(pos).alias("__first"), F.count("*").alias("__n"))
+    numbered = written(running(seen, [F.col("__first")], {name: F.lit(1).cast("long")}, "styles").withColumn("__style", key), "styles")
+    rows = join_hot(df.withColumn("__style", key), numbered.select("__style", name), "__style", numbered.select("__style", F.col("__n").alias("n")))
+    return rows.drop("__style"), numbered.select(name, *columns)
+
+
+def found_by_key(df: DataFrame, column: str, key: str) -> DataFrame:
+    """The rows whose name is a key, without regard to case."""
+    return df.filter(F.lower(F.col(f"`{column}`")) == key.lower())
+
+
+# Annotations as exchanged forms data: (by, page, subtype, x, y, width, height, contents, color).
+XFDF = "http://ns.adobe.com/xfdf/"
+ANNOTATION = "page long, subtype string, x double, y double, width double, height double, contents string, color array<double>"
+
+
+def xfdf(annotations: DataFrame, by: str) -> DataFrame:
+    """(by, xml): one document of annotations each; pages count from 0 there, a rectangle is its corners, a color in hex."""
+    from ..functions.values import general
+
+    safe = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
+    rect = F.concat_ws(",", general(F.col("x")), general(F.col("y")), general(F.col("x") + F.col("width")), general(F.col("y") + F.col("height")))
+    byte = lambda c: F.lpad(F.hex(F.floor(c * 255).cast("long")), 2, "0")
+    color = F.when(F.size("color") == 3, F.concat(F.lit(' color="#'), F.array_join(F.transform("color", byte), ""), F.lit('"'))).otherwise("")
+    tag = F.lower("subtype")
+    inner = F.when(F.coalesce("contents", F.lit("")) != "", F.concat(F.lit("<contents>"), safe(F.col("contents")), F.lit("</contents>"))).otherwise("")
+    one = F.concat(F.lit("<"), tag, F.lit(' page="'), (F.col("page") - 1).cast("string"), F.lit('" rect="'), rect, F.lit('"'), F.coalesce(color, F.lit("")), F.lit(">"), inner, F.lit("</"), tag, F.lit(">"))
+    each = F.array_sort(F.collect_list(F.struct("page", F.coalesce(F.col("seq") if "seq" in annotations.columns else F.lit(0), F.lit(0)).alias("seq"), one.alias("x"))))  # a document's annotations
+    body = F.array_join(F.transform(each, lambda a: a["x"]), "")
+    return annotations.groupBy(by).agg(F.concat(F.lit(f'<?xml version="1.0" encoding="UTF-8"?><xfdf xmlns="{XFDF}" xml:space="preserve"><annots>'), body, F.lit("</annots></xfdf>")).alias("xml"))
+
+
+def from_xfdf(files: DataFrame, by: str, xml_col: str = "xml") -> DataFrame:
+    """(by, page, subtype, ...): the annotations of such documents; one without a page or a rectangle goes, an unknown kind is a note."""
+    names = {"text": "Text", "highlight": "Highlight", "link": "Link", "freetext": "FreeText", "square": "Square", "circle": "Circle"}
+    base = files.select(F.col(f"`{by}`"), F.col(f"`{xml_col}`").alias("__xml"))
+    ddl = f"`{by}` {base.schema[0].dataType.simpleString()}, {ANNOTATION}"
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    types = to_arrow_schema(files.sparkSession.createDataFrame([], ddl).schema)
+
+    def run(batches):
+        from xml.etree import ElementTree
+
+        for batch in batches:
+            out = []
+            for key, xml in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                annots = ElementTree.fromstring(xml.encode()).find(f"{{{XFDF}}}annots") if xml else None
+                for e in annots if annots is not None else ():
+                    page, rect, color = e.get("page") or "", (e.get("rect") or "").split(","), e.get("color") or ""
+                    try:
+                        x, y, x2, y2 = map(float, rect)
+                        number = int(page) + 1
+                    except ValueError:
+                        continue
+                    rgb = [int(color[i : i + 2], 16) / 255 for i in (1, 3, 5)] if re.fullmatch("#[0-9A-Fa-f]{6}", color) else None
+                    out.append((key, number, names.get(e.tag.rsplit("}", 1)[-1], "Text"), x, y, x2 - x, y2 - y, e.findtext(f"{{{XFDF}}}contents"), rgb))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), types, strict=True)], schema=types)
+
+    return base.mapInArrow(run, ddl)
+
+
 def merged(parts: list[DataFrame], id_col: str) -> DataFrame:
     """Tables one after another, each one's ids shifted past those before it; source_part names the table, from 0."""
     out = None
@@ -146,7 +224,7 @@ def inserted(pages: DataFrame, page: str, at: int, new: DataFrame, by: list[str]
     n = written(new.groupBy(*(by or [])).agg(F.count("*").alias("__n")), "new-pages")
     if by:
         some = join_groups(pages, n, by)
-        none = pages.join(n, [F.col(f"`{b}`") == n[b] for b in by], "left_anti").withColumn("__n", F.lit(0).cast("long"))
+        none = without_groups(pages, n, by).withColumn("__n", F.lit(0).cast("long"))
         counted = some.unionByName(none)
     else:
         counted = pages.join(F.broadcast(n), F.lit(True), "left")
@@ -216,7 +294,7 @@ def labelled(pages: DataFrame, ranges: DataFrame, index: str = "page_index", by:
     if by:
         each = F.array_sort(F.collect_list(F.struct(*[F.col(c).alias(n) for n, c in cols.items()])))  # a document's ranges
         starts = written(ranges.groupBy(*by).agg(each.alias("__ranges")), "label-ranges")
-        with_ranges = join_groups(pages, starts, by).unionByName(pages.join(starts, [F.col(f"`{b}`") == starts[b] for b in by], "left_anti").withColumn("__ranges", F.lit(None).cast(starts.schema["__ranges"].dataType)))
+        with_ranges = join_groups(pages, starts, by).unionByName(without_groups(pages, starts, by).withColumn("__ranges", F.lit(None).cast(starts.schema["__ranges"].dataType)))
         own = F.filter("__ranges", lambda r: r["__start"] <= F.col(index))
         found = with_ranges.withColumn("__own", F.try_element_at(own, F.lit(-1))).select(*[F.col(f"`{c}`") for c in pages.columns], "__own.*")
     else:

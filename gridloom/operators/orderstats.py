@@ -30,6 +30,15 @@ def join_groups(df: DataFrame, groups: DataFrame, by: Sequence[str]) -> DataFram
     return df.join(side, cond).drop(*[f"__of_{i}" for i in range(len(by))])
 
 
+def without_groups(df: DataFrame, groups: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The rows of groups that a table doesn't name."""
+    side = groups.select(*[F.col(f"`{b}`").alias(f"__of_{i}") for i, b in enumerate(by)])
+    cond = F.lit(True)
+    for i, b in enumerate(by):
+        cond = cond & F.col(f"`{b}`").eqNullSafe(F.col(f"__of_{i}"))
+    return df.join(side, cond, "left_anti")
+
+
 def ranked(df: DataFrame, x: str = "x", by: Sequence[str] = ()) -> DataFrame:
     """by, x, n, upto, total: each distinct value, how often it stands there, how many values aren't above it, and how many there are."""
     r = running(counted(df, x, by), [*[F.col(b) for b in by], F.col("x")], {"before": F.col("n")}, "ranked")

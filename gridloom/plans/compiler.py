@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions import aggregates as agg
 from ..functions import registry
-from ..functions.values import BLANK, DIV0, ERROR, NA, NAME, NUM, RANGE, REF, TEXT, Val, boolean, by_kind, column_value, error, errors_of, fails, lit, merged, number, text, to_bool, to_num, to_text
+from ..functions.values import ANY, BLANK, DIV0, ERROR, NA, NAME, NUM, RANGE, REF, TEXT, Val, boolean, by_kind, column_value, error, errors_of, fails, is_blank, lit, merged, number, text, to_bool, to_num, to_text
 from ..operators.criteria import criterion, criterion_of
 from ..operators.orderstats import folded, kth_values, mean_absolute_deviation, modal_value, quantiles, ranked, trimmed_mean
 from ..shared import SMALL_ROWS, written
@@ -501,8 +501,12 @@ def compile_tree(compiler: RowCompiler, formula: str) -> Val:
 
 def result(v: Val, name: str, errors: bool) -> list[Column]:
     """The value under its name, and its error if asked for; a blank or an error is null."""
-    kind = "string" if v.kind == TEXT else "boolean" if v.kind == "boolean" else "double"
-    out = [v.value().cast(kind).alias(name)]
+    kind = "string" if v.kind in (TEXT, ANY) else "boolean" if v.kind == "boolean" else "double"
+    value = v.value()
+    if v.kind == ANY:  # a column has one type: what is sometimes a text always is
+        filled = ~is_blank(v) if v.err is None else ~is_blank(v) & v.err.isNull()
+        value = F.when(filled, to_text(v))
+    out = [value.cast(kind).alias(name)]
     none = F.lit(None).cast("string")
     return out + ([(none if v.err is None else v.err).alias(f"{name}_error")] if errors else [])
 

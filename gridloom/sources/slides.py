@@ -390,3 +390,46 @@ def replace_in(runs: list[dict], old: str, new: str, same_case: bool) -> list[di
         if r is not None:
             out.append({"seq": r["seq"], "text": r["text"], "n": 0})
     return out
+
+
+# Writing.
+def deck_bytes(slides: list[list[str]]) -> bytes:
+    """A package with a slide for each list of texts, a shape for each text, a paragraph for each of its lines."""
+    from .workbook import HEAD, OFFICE, STAMP, clean
+
+    links, package, kinds = f"{OFFICE}/officeDocument/2006/relationships", f"{OFFICE}/package/2006", "application/vnd.openxmlformats-officedocument.presentationml"
+    spaces = f'xmlns:a="{DRAW[1:-1]}" xmlns:r="{links}" xmlns:p="{SHOW[1:-1]}"'
+    n = range(1, len(slides) + 1)
+    parts = {
+        "[Content_Types].xml": f'{HEAD}<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/ppt/presentation.xml" ContentType="{kinds}.presentation.main+xml"/>' + "".join(f'<Override PartName="/ppt/slides/slide{k}.xml" ContentType="{kinds}.slide+xml"/>' for k in n) + "</Types>",
+        "_rels/.rels": f'{HEAD}<Relationships xmlns="{package}/relationships"><Relationship Id="rId1" Type="{links}/officeDocument" Target="ppt/presentation.xml"/></Relationships>',
+        "ppt/presentation.xml": f"{HEAD}<p:presentation {spaces}><p:sldIdLst>" + "".join(f'<p:sldId id="{255 + k}" r:id="rId{k}"/>' for k in n) + '</p:sldIdLst><p:sldSz cx="9144000" cy="6858000"/></p:presentation>',
+        "ppt/_rels/presentation.xml.rels": f'{HEAD}<Relationships xmlns="{package}/relationships">' + "".join(f'<Relationship Id="rId{k}" Type="{links}/slide" Target="slides/slide{k}.xml"/>' for k in n) + "</Relationships>",
+    }
+    for k, texts in zip(n, slides):
+        shapes = "".join(
+            f'<p:sp><p:nvSpPr><p:cNvPr id="{i + 1}" name="Text {i}"/><p:cNvSpPr/><p:nvPr/></p:nvSpPr><p:spPr/><p:txBody><a:bodyPr/>' + "".join(f"<a:p><a:r><a:t>{clean(line)}</a:t></a:r></a:p>" for line in t.split("\n")) + "</p:txBody></p:sp>" for i, t in enumerate(texts, 1)
+        )
+        parts[f"ppt/slides/slide{k}.xml"] = f'{HEAD}<p:sld {spaces}><p:cSld><p:spTree><p:nvGrpSpPr><p:cNvPr id="1" name=""/><p:cNvGrpSpPr/><p:nvPr/></p:nvGrpSpPr><p:grpSpPr/>{shapes}</p:spTree></p:cSld></p:sld>'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, text in parts.items():
+            z.writestr(zipfile.ZipInfo(name, STAMP), text, zipfile.ZIP_DEFLATED)
+    return out.getvalue()
+
+
+def written_decks(texts: DataFrame, by: str) -> DataFrame:
+    """(by, content): a presentation each from (by, slide, seq, text), slides from 1."""
+    each = texts.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("slide", "seq", "text"))).alias("texts"))  # a presentation's texts
+
+    def run(batches):
+        for batch in batches:
+            files = []
+            for rows in batch.column(1).to_pylist():
+                slides: dict[int, list[str]] = {}
+                for r in rows:
+                    slides.setdefault(r["slide"], []).append(r["text"] or "")
+                files.append(deck_bytes([slides.get(k, []) for k in range(1, max(slides) + 1)]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(files, pa.binary())], names=[by, "content"])
+
+    return each.mapInArrow(run, f"`{by}` {each.schema[0].dataType.simpleString()}, content binary")
