@@ -109,8 +109,8 @@ def folded(df: DataFrame, kind: str, x: str = "x", by: Sequence[str] = ()) -> Da
     """
     import pyarrow as pa
 
-    base = df.filter(F.col(x).isNotNull()).select(F.to_json(F.struct(*by) if by else F.struct(F.lit(0))).alias("g"), *by, F.abs(F.col(x)).cast("long").alias("x"))
-    schema = "g string, " + "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in base.schema.fields[1:-1]) + "x long"
+    base = df.filter(F.col(x).isNotNull()).select(F.to_json(F.struct(*by) if by else F.struct(F.lit(0))).alias("__group"), *by, F.abs(F.col(x)).cast("long").alias("x"))
+    schema = "__group string, " + "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in base.schema.fields[1:-1]) + "x long"
 
     def fold(batches):
         import math
@@ -137,7 +137,7 @@ def folded(df: DataFrame, kind: str, x: str = "x", by: Sequence[str] = ()) -> Da
 
     partial = base.mapInArrow(fold, schema)
     # Groups that one task folds come together and few at a time; a group's parts are as many as tasks.
-    final = (partial.repartition("g").sortWithinPartitions("g") if by else partial.repartition(1)).mapInArrow(fold, schema)
+    final = (partial.repartition("__group").sortWithinPartitions("__group") if by else partial.repartition(1)).mapInArrow(fold, schema)
     return final.groupBy(*by).agg(F.max(F.col("x").cast("double")).alias("value")) if not by else final.select(*by, F.col("x").cast("double").alias("value"))
 
 

@@ -178,6 +178,7 @@ class SummaryCompiler(RowCompiler):
     def __init__(self, df: DataFrame, plan: Summary, by: list[str] | None = None, pos: str | None = None):
         super().__init__(dict(df.dtypes))
         self.df, self.plan, self.by, self.pos = df, plan, list(by or []), pos
+        self.groups = [f"__g{i}" for i in range(len(self.by))]  # the groups' columns in plans of their own
         self.rows = RowCompiler(dict(df.dtypes))
         self.sides: list[DataFrame] = []
 
@@ -296,24 +297,27 @@ class SummaryCompiler(RowCompiler):
         x = F.explode(F.array(*[self.cells(name, v) for v in values]))
         found = agg.VERTICAL[name](F.col("x"))
         err = found.err if found.err is not None else F.lit(None).cast("string")
-        cells = self.source().select(*self.by, x.alias("x"))
-        return self.frame(cells.groupBy(*self.by).agg(found.col.alias("value"), err.alias("error")), found.kind)
+        cells = self.source().select(*self.keys(), x.alias("x"))
+        return self.frame(cells.groupBy(*self.groups).agg(found.col.alias("value"), err.alias("error")), found.kind)
 
     def frame(self, df: DataFrame, kind: str = "number") -> Val:
-        """A plan with a row for each group (one without groups), as columns of the result's rows; df: by, value, error."""
+        """A plan with a row for each group (one without groups), as columns of the result's rows; df: groups, value, error."""
         k = len(self.plan.frames)
-        keys = [F.col(f"`{b}`").alias(f"__f{k}_{i}") for i, b in enumerate(self.by)]
+        keys = [F.col(g).alias(f"__f{k}_{i}") for i, g in enumerate(self.groups)]
         self.plan.frames.append(df.select(*keys, F.col("value").alias(f"__f{k}_v"), F.col("error").alias(f"__f{k}_e")))
         return Val(kind, F.col(f"__f{k}_v"), F.col(f"__f{k}_e"))
 
+    def keys(self) -> list[Column]:
+        return [F.col(f"`{b}`").alias(g) for b, g in zip(self.by, self.groups, strict=True)]
+
     def beside(self, node: Node, fn, bad: str) -> Val:
-        """A plan over the numbers of a range: by, value; a null value, or a group that it lacks, fails."""
+        """A plan over the numbers of a range: groups, value; a null value, or a group that it lacks, fails."""
         args = self.parts(Node("call", node.value, node.args[:1])) if len(node.args) == 1 or node.value in BESIDE_FIRST else self.parts(node)
         cells = [agg.countable(Val(v.kind, v.value())) for v in (self.rows.operand(a) if uses_columns(a) else self.scalar(a) for a in args)]
         x = cells[0] if len(cells) == 1 else F.explode(F.array(*cells))
         pos = [F.col(f"`{self.pos}`").alias("__pos")] if self.pos else []
-        df = self.source().select(*self.by, *pos, x.alias("x")).filter("x is not null")
-        v = self.frame(fn(df).select(*self.by, "value", F.lit(None).cast("string").alias("error")))
+        df = self.source().select(*self.keys(), *pos, x.alias("x")).filter("x is not null")
+        v = self.frame(fn(df).select(*self.groups, "value", F.lit(None).cast("string").alias("error")))
         return number(v.col, merged(v.err, fails(v.col.isNull(), bad)))
 
     def met(self, pairs: list[Node]) -> tuple[Column, Column | None]:
@@ -372,28 +376,28 @@ class SummaryCompiler(RowCompiler):
         return self.keep(number(F.coalesce(F.sum(row.value()), F.lit(0.0))))
 
     def do_large(self, node: Node) -> Val:
-        return self.beside(node, lambda x: kth_values(x, int(self.constant(node.args[1])), False, by=self.by), NUM)
+        return self.beside(node, lambda x: kth_values(x, int(self.constant(node.args[1])), False, by=self.groups), NUM)
 
     def do_small(self, node: Node) -> Val:
-        return self.beside(node, lambda x: kth_values(x, int(self.constant(node.args[1])), True, by=self.by), NUM)
+        return self.beside(node, lambda x: kth_values(x, int(self.constant(node.args[1])), True, by=self.groups), NUM)
 
     def do_avedev(self, node: Node) -> Val:
-        return self.beside(node, lambda x: mean_absolute_deviation(x, by=self.by), NUM)
+        return self.beside(node, lambda x: mean_absolute_deviation(x, by=self.groups), NUM)
 
     def do_trimmean(self, node: Node) -> Val:
-        return self.beside(node, lambda x: trimmed_mean(x, self.constant(node.args[1]), by=self.by), NUM)
+        return self.beside(node, lambda x: trimmed_mean(x, self.constant(node.args[1]), by=self.groups), NUM)
 
     def do_mode(self, node: Node) -> Val:
         """The first seen of ties where the order of rows is known, else the smallest."""
-        return self.beside(node, lambda x: modal_value(x, pos="__pos" if self.pos else None, by=self.by), NA)
+        return self.beside(node, lambda x: modal_value(x, pos="__pos" if self.pos else None, by=self.groups), NA)
 
     do_mode_sngl = do_mode_mult = do_mode
 
     def do_gcd(self, node: Node) -> Val:
-        return self.beside(node, lambda x: folded(x, "gcd", by=self.by), NUM)
+        return self.beside(node, lambda x: folded(x, "gcd", by=self.groups), NUM)
 
     def do_lcm(self, node: Node) -> Val:
-        return self.beside(node, lambda x: folded(x, "lcm", by=self.by), NUM)
+        return self.beside(node, lambda x: folded(x, "lcm", by=self.groups), NUM)
 
     def share(self, node: Node, share: float) -> Val:
         """Quantiles of one range share its ranking."""
@@ -402,10 +406,10 @@ class SummaryCompiler(RowCompiler):
         def fn(x: DataFrame) -> DataFrame:
             ranks = self.plan.ranks.get(key) if key else None
             if ranks is None:
-                ranks = written(ranked(x, by=self.by), "ranks")
+                ranks = written(ranked(x, by=self.groups), "ranks")
             if key:
                 self.plan.ranks[key] = ranks
-            return quantiles(x, [share], by=self.by, ranks=ranks)
+            return quantiles(x, [share], by=self.groups, ranks=ranks)
 
         return self.beside(node, fn, NUM)
 

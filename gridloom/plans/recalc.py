@@ -273,6 +273,22 @@ def compiled(pattern: str) -> tuple[GridCompiler, Column]:
     return compiler, F.when(failed.isNotNull(), error_cell(failed)).otherwise(value)
 
 
+def on_cycles(at: DataFrame, inside: DataFrame, pending: DataFrame, area_keys: list[str]) -> DataFrame:
+    """Of open formulas, those that are left when ones that no other waits for are taken away again and again."""
+    cells = under(inside.join(under(pending, PLACE, "__"), same(PLACE, "__"), "left_semi"), area_keys, "__", F.col("row").alias("__row"), F.col("col").alias("__col"))
+    of_area = reduce(lambda a, b: a & b, [F.col("workbook").eqNullSafe(F.col("__workbook")), F.col("rs").eqNullSafe(F.col("__sheet")), *[F.col(k) == F.col(f"__{k}") for k in ("r1", "c1", "r2", "c2")]])
+    waits = at.join(cells, of_area).select(*PLACE, *[F.col(f"__{k}").alias(f"on_{k}") for k in PLACE]).distinct()
+    waits = written(waits, "grid-edges")
+    core, left = written(pending, "grid-core"), pending.count()
+    while True:
+        inner = waits.join(under(core, PLACE, "__"), same(PLACE, "__"), "left_semi").select(*[F.col(f"on_{k}").alias(f"__{k}") for k in PLACE]).distinct()
+        core = written(core.join(inner, same(PLACE, "__"), "left_semi"), "grid-core")
+        now = core.count()
+        if now == left:
+            return core
+        left = now
+
+
 def recalculated(cells: DataFrame, names: dict[str, str] | None = None) -> DataFrame:
     """All cells, those with a formula with its value. names: defined names and the references or formulas that they stand for.
 
@@ -309,9 +325,8 @@ def recalculated(cells: DataFrame, names: dict[str, str] | None = None) -> DataF
         blocked = under(at.join(blocked_areas, of_area, "left_semi").select(*PLACE).distinct(), PLACE, "__")
         ready = written(pending.join(blocked, same(PLACE, "__"), "left_anti"), "grid-ready")
         if ready.isEmpty():
-            # Only cycles and what waits for them are left; those that others wait for are #REF!.
-            on_cycle = under(waits.select("workbook", "sheet", "row", "col").distinct(), PLACE, "__")
-            ready = written(pending.join(on_cycle, same(PLACE, "__"), "left_semi"), "grid-cycle")
+            # Only cycles and what waits for them are left; those on a cycle, or between two, are #REF!.
+            ready = on_cycles(at, inside, pending, area_keys)
             bad = error_cell(F.lit(REF))
             new = ready.select(*PLACE, bad.alias("v"))
         else:

@@ -88,7 +88,12 @@ def write_csv(df: DataFrame, path: str, line_end: str = "\r\n", encoding: str =
     if mark:
         first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
         lines = lines.select(F.when(first, F.concat(F.lit("\ufeff"), "line")).otherwise(F.col("line")).alias("line"))
-    lines.write.option("lineSep", line_end).option("encoding", encoding).text(path)
+    if encoding.upper() in ("UTF-8", "UTF8"):
+        lines.write.option("lineSep", line_end).text(path)
+        return
+    # The text writer knows UTF-8 only; here a line is the one field of a row, and no character quotes it.
+    raw = {"sep": "\x01", "quote": "\0", "escapeQuotes": False, "header": False, "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    lines.write.options(**raw).option("lineSep", line_end).option("encoding", encoding).csv(path)
 
 
 def pasted(lines: DataFrame, delimiter: str = "\t") -> DataFrame:

@@ -120,14 +120,23 @@ def odp_pages(deck: Deck) -> list[Element]:
     return list(tree.iter(f"{ODF['drawing']}page")) if tree is not None else []
 
 
+def of_tags(e: Element, *names: tuple[str, str]) -> Iterator[Element]:
+    """Elements below one with any of some names, in order."""
+    tags = {ODF[space] + name for space, name in names}
+    return (x for x in e.iter() if x.tag in tags)
+
+
+FRAMES, LINES = (("drawing", "frame"), ("drawing", "custom-shape")), (("text", "p"), ("text", "h"))
+
+
 def odp_frames(page: Element) -> Iterator[list[str]]:
-    for frame in page.iter(f"{ODF['drawing']}frame", f"{ODF['drawing']}custom-shape"):
-        yield ["".join(p.itertext()) for p in frame.iter(f"{ODF['text']}p", f"{ODF['text']}h")]
+    for frame in of_tags(page, *FRAMES):
+        yield ["".join(p.itertext()) for p in of_tags(frame, *LINES)]
 
 
 def odp_text(page: Element) -> str:
     notes = {id(f) for n in page.iter(f"{ODF['presentation']}notes") for f in n.iter()}
-    found = ["\n".join("".join(p.itertext()) for p in f.iter(f"{ODF['text']}p", f"{ODF['text']}h")) for f in page.iter(f"{ODF['drawing']}frame", f"{ODF['drawing']}custom-shape") if id(f) not in notes]
+    found = ["\n".join("".join(p.itertext()) for p in of_tags(f, *LINES)) for f in of_tags(page, *FRAMES) if id(f) not in notes]
     return "\n".join(t for t in found if t)
 
 
