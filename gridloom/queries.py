@@ -15,7 +15,7 @@ from .operators import grid, lookup, orderstats, pivot
 from .plans.compiler import calculated, evaluate, summary
 from .plans.lookups import Table
 from .plans.recalc import recalculated
-from .shared import fresh_path
+from .shared import dealt, fresh_path
 from .sources import csv, pdf, slides, texts, workbook
 from .streaming import windows
 
@@ -268,7 +268,7 @@ def doc_find_replace(spark, d):
   wrapped AS (SELECT doc_id, ln, sub, string_agg(w[i], ' ' ORDER BY i) AS text FROM fill GROUP BY doc_id, ln, sub UNION ALL SELECT doc_id, ln, 0, '' FROM words WHERE len(w) = 0)
   SELECT doc_id, (k // 40) + 1 AS page, k % 40 + 1 AS line, text FROM (SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY ln, sub) - 1 AS k FROM wrapped)""")
 def doc_paginate(spark, d):
-    return docs.paginated(table(spark, d, "documents"), "doc_id", "text", 80, 40)
+    return docs.paginated(dealt(table(spark, d, "documents"), f"{d}/documents.parquet"), "doc_id", "text", 80, 40)
 
 
 @query("SELECT doc_id AS id, sha256(text) AS digest, min(doc_id) OVER (PARTITION BY text) AS canonical FROM documents")

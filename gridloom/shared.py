@@ -16,6 +16,8 @@ from pyspark.sql import Window as W
 SMALL_ROWS = 20_000
 #: A key is hot if it holds more than this part of a table's rows, so fewer keys than that can be.
 HOT_KEYS = 1000
+#: Bytes of a table that is dealt out anew before heavy work at most.
+DEAL_BYTES = 32 << 20
 #: Parts that rows without a key are dealt to.
 SALTS = 1024
 #: Tables and folders that each session's operators have made in the shared folder.
@@ -62,6 +64,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, path: str) -> DataFrame:
+    """A small table of fewer files than cores, dealt out to all cores: a file of one row group is one task, however heavy what follows.
+
+    Beyond DEAL_BYTES, where there are row groups enough, the table stays as it lies. The rows are the same either way.
+    """
+    spark = df.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    cores = spark.sparkContext.defaultParallelism
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength() > DEAL_BYTES or len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def join_hot(big: DataFrame, small: DataFrame, key: str, counts: DataFrame) -> DataFrame:
     """Inner join by `key`, never null, with a table that has at most one row for each key.
 
