@@ -2,81 +2,35 @@
 
 from __future__ import annotations
 
-import posixpath
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from .. import shared
+from ..shared import SMALL_ROWS, fresh_path, join_hot, release, running, shared_dir, written
+
+__all__ = ["fresh_path", "join_hot", "release", "running_sums", "shared_dir", "written"]  # of the engine's own, used by every operator
 
 #: The white space that separates words in most of the contracts.
 SPACE_CLASS = r"\x20\x09-\x0D"
+running_sums = running
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER_TABLE = {ord(c): c.lower() for c in ASCII_UPPER}
 
 #: Rows in an Arrow batch sent to Python. Long texts come by the hundred, not by the ten thousand, so a worker stays small.
 ARROW_ROWS = 256
-#: A side of a join is broadcast only if it has been counted and holds at most this many rows.
-SMALL_ROWS = 20_000
-#: A key is hot if it holds more than this part of a table's rows, so fewer keys than that can be.
-HOT_KEYS = 1000
 #: Rows that one array of repeats is unfolded into at most.
 REPEATS = 1024
 
 
-#: Tables and folders that each session's operators have made in the shared folder.
-MADE: dict[str, list[str]] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset in local mode (tests).
-
-    Beside a local master there is no folder that executors are sure to share, so an unset one is an error.
-    """
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if conf:
-        if "://" not in conf:  # a bare path lies in the cluster's own file system, which other readers must be told
-            path = spark._jvm.org.apache.hadoop.fs.Path(conf)
-            conf = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
-        return conf.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="gridloom-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    path = posixpath.join(shared_dir(spark), "gridloom", f"{name}-{uuid.uuid4().hex}")
-    MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return path
-
-
-def release(spark: SparkSession) -> int:
-    """Removes what the session's operators have written to the shared folder, once their results are no longer read."""
-    jvm, gone = spark._jvm, 0
-    for path in MADE.pop(spark.sparkContext.applicationId, []):
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        gone += at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    return gone
-
-
 def file_broadcast(spark: SparkSession, path: str):
     """A vocabulary file's bytes, read on the driver, for every executor: no executor needs the path. Files of a few MB."""
     with open(path, "rb") as f:
         return spark.sparkContext.broadcast(f.read())
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: the rows as a Parquet table in the shared folder, which survives any executor."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def arrow_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """Bounds the rows of an Arrow batch for the session's later Python stages; never raises a smaller setting."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -128,53 +82,9 @@ def join_small(big: DataFrame, small: DataFrame, keys: list[str], how: str = "le
     return big.join(side, cond, how).select(*big.columns, *more)
 
 
-def join_hot(big: DataFrame, small: DataFrame, key: str, counts: DataFrame) -> DataFrame:
-    """Inner join by `key`, never null, with a table that has at most one row for each key.
-
-    counts: the rows of big by key, as n, for all keys of small.
-
-    With few keys small is broadcast. Else the rows of hot keys meet theirs by a broadcast of fewer than HOT_KEYS rows,
-    whatever the input, and the rest are shuffled, so a key with a third of the rows stays dealt out as it was.
-    """
-    keys, total, most = counts.agg(F.count("*"), F.sum("n"), F.max("n")).first()
-    if keys <= SMALL_ROWS:
-        return big.join(F.broadcast(small), key)
-    if most <= total // HOT_KEYS:
-        return big.join(small, key)
-    heavy = F.broadcast(counts.filter(F.col("n") > total // HOT_KEYS).select(key))
-    hot = F.broadcast(small.join(heavy, key, "left_semi"))
-    return big.join(hot, key).unionByName(big.join(heavy, key, "left_anti").join(small, key))
-
-
 def searched(bounds: list[str], key: Column) -> Column:
-    """How many of the sorted bounds aren't above the key: a binary search in an expression. Bounds are texts without line ends."""
-    if not bounds:
-        return F.lit(0)
-    at = F.split(F.lit("\n".join(bounds)), "\n")  # one literal, folded once
-    start = F.struct(F.lit(0).alias("low"), F.lit(len(bounds)).alias("high"))
-
-    def half(acc: Column, _: Column) -> Column:
-        middle = F.shiftright(acc["low"] + acc["high"], 1)
-        up = F.struct((middle + 1).alias("low"), acc["high"].alias("high"))
-        down = F.struct(acc["low"].alias("low"), middle.alias("high"))
-        return F.when(acc["low"] >= acc["high"], acc).when(F.get(at, middle) <= key, up).otherwise(down)
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(len(bounds).bit_length())), start, half, lambda acc: acc["low"])
-
-
-def running_sums(df: DataFrame, order: list[Column], sums: dict[str, Column], name: str) -> DataFrame:
-    """The rows with, for each name, the sum over the rows before them in a total order (0 for the first): no task sees all rows.
-
-    Two levels: over ranges of rows, one row each, and inside each range. The rows and their ranges are written.
-    """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = df.select("*", *[v.alias(f"__v_{k}") for k, v in sums.items()]).repartitionByRange(parts, *order).withColumn("__range", F.spark_partition_id())
-    dealt = written(ranges, name)
-    before = W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
-    tops = dealt.groupBy("__range").agg(*[F.sum(f"__v_{k}").alias(f"__t_{k}") for k in sums])
-    tops = F.broadcast(tops.select("__range", *[F.coalesce(F.sum(f"__t_{k}").over(before), F.lit(0)).alias(f"__b_{k}") for k in sums]))  # a row for each range
-    inside = W.partitionBy("__range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    return dealt.join(tops, "__range").select(*df.columns, *[(F.col(f"__b_{k}") + F.coalesce(F.sum(f"__v_{k}").over(inside), F.lit(0))).alias(k) for k in sums])
+    """How many of the sorted bounds, texts without line ends, aren't above the key."""
+    return shared.searched(F.split(F.lit("\n".join(bounds)), "\n"), len(bounds), key)  # one literal, folded once
 
 
 def repeated(df: DataFrame, times: str, number: str) -> DataFrame:

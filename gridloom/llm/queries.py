@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shared import dealt
 from . import bpe, langid, licenses, media, mixing, quality, secrets, simhash, tokencount, warc
 
 PIECES, WORDS = "piece_bpe_32k.model", "word_bpe_49k.json"
@@ -20,7 +21,8 @@ def vocabulary(name: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    return dealt(spark.read.parquet(path), path)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from gridloom import shared
 from gridloom.llm import bpe, common, langid, licenses, media, mixing, quality, queries, secrets, simhash, tokencount, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, score double, __id long"
@@ -608,7 +609,7 @@ def test_simhash_chains_end_in_few_rounds(spark, monkeypatch):
 
 
 def test_joins_with_hot_keys(spark, monkeypatch):
-    monkeypatch.setattr(common, "SMALL_ROWS", 10)
+    monkeypatch.setattr(shared, "SMALL_ROWS", 10)
     big = spark.range(5000).selectExpr("if(id % 3 = 0, 7L, id) k", "id")
     small = spark.range(6000).selectExpr("id k", "id * 2 v")
     counts = big.groupBy("k").agg(F.count("*").alias("n"))
