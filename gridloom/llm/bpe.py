@@ -18,6 +18,7 @@ import json
 import re
 import struct
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -30,6 +31,8 @@ LONG = 64
 #: Rows of the matrices at most.
 ROWS = 4096
 NONE = np.int64(1 << 40)
+#: Stretches that the library normalises together.
+TOGETHER = 500
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 FULL_SCHEMA = "doc_id long, ids array<int>, decoded string"
 
@@ -44,7 +47,7 @@ def byte_letters() -> list[str]:
 class WordBPE:
     """A tokenizers BPE file with word ends: NFC, white space collapsed, lower case, split by pattern, byte letters."""
 
-    def __init__(self, file: str | bytes, most_cached: int = 200_000):
+    def __init__(self, file: str | bytes, most_cached: int = 400_000):
         """file: the path of a vocabulary, or its bytes."""
         import tokenizers
 
@@ -167,18 +170,39 @@ class WordBPE:
         """Ids as little-endian bytes, and decoded text, of a stretch without white space."""
         return self.chunk_all([raw])[raw]
 
-    def pre_tokens(self, raw: str) -> list[bytes]:
-        """The words of a stretch as UTF-8, normalised."""
-        if raw.isascii():
-            return [w.encode() for w in self.split_ascii(raw.lower())]
-        return [w.translate(self.byte_of).encode("latin-1") for w, _ in self.pre_tokenize(self.normalize(raw))]
+    def pre_tokens(self, raws: list[str]) -> dict[str, list[bytes]]:
+        """The words of each stretch as UTF-8, normalised. Stretches beyond ASCII go through the library together.
+
+        They stand apart by blanks, across which nothing composes; one that itself holds a blank of another kind goes alone.
+        """
+        split, found, wide = self.split_ascii, {}, []
+        for raw in raws:
+            if raw.isascii():
+                found[raw] = [w.encode() for w in split(raw.lower())]
+            elif ODD_SPACE(raw):
+                found[raw] = [w.translate(self.byte_of).encode("latin-1") for w, _ in self.pre_tokenize(self.normalize(raw))]
+            else:
+                wide.append(raw)
+        for k in range(0, len(wide), TOGETHER):
+            part = wide[k : k + TOGETHER]
+            text = self.normalize(" ".join(part))
+            words = iter(self.pre_tokenize(text))
+            word, (begin, _) = next(words, ("", (len(text), 0)))
+            end = 0
+            for raw, own in zip(part, text.split(" "), strict=True):
+                end += len(own) + 1
+                mine = found[raw] = []
+                while begin < end and word:
+                    mine.append(word.translate(self.byte_of).encode("latin-1"))
+                    word, (begin, _) = next(words, ("", (len(text), 0)))
+        return found
 
     def parted(self, text: str) -> list[str]:
         """Stretches of text at even places, added tokens at odd ones."""
         return self.special(text) if self.special and any(t in text for t in self.added) else [text]
 
     def chunk_all(self, raws: list[str]) -> dict[str, tuple[bytes, str]]:
-        split = {raw: self.pre_tokens(raw) for raw in raws}
+        split = self.pre_tokens(raws)
         ids_of = self.words_ids({w for words in split.values() for w in words})
         found = {}
         for raw, words in split.items():
@@ -188,11 +212,18 @@ class WordBPE:
 
     def prepare(self, texts: list[str | None]) -> None:
         """Puts what a batch's texts need into the cache, all new words at once."""
-        memo, new = self.memo, set()
+        memo, needed = self.memo, set()
         for text in texts:
             for part in self.parted(text or "")[::2]:
-                new.update(chunks(part))
-        new = [c for c in new if len(c) <= memo.longest and c not in memo and c not in memo.old]
+                needed.update(chunks(part))
+        new = []
+        for c in needed:
+            if c not in memo and len(c) <= memo.longest:
+                value = memo.old.get(c)
+                if value is None:
+                    new.append(c)
+                else:
+                    memo.put(c, value)  # so that it outlives the old generation
         for k in range(0, len(new), 4 * ROWS):
             for raw, value in self.chunk_all(new[k : k + 4 * ROWS]).items():
                 memo.put(raw, value)
@@ -231,6 +262,12 @@ def chunks(text: str) -> list[str]:
     return BY_BLANKS(text) if ODD_SPACE(text) else text.split()
 
 
+@lru_cache(maxsize=2)
+def loaded(file: bytes) -> WordBPE:
+    """A worker's tokenizer and cache, for all of its tasks."""
+    return WordBPE(file)
+
+
 def encoded(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The ids and the decoded text of every text: the operator's own output, for writing token tables.
 
@@ -240,7 +277,7 @@ def encoded(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: s
     file = file_broadcast(docs.sparkSession, tokenizer)
 
     def start() -> Callable[..., tuple]:
-        bpe = WordBPE(file.value)
+        bpe = loaded(file.value)
 
         def one(key, text):
             ids = bpe.encode(text)
@@ -257,7 +294,7 @@ def encode_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     file = file_broadcast(docs.sparkSession, tokenizer)
 
     def start() -> Callable[..., tuple]:
-        bpe = WordBPE(file.value)
+        bpe = loaded(file.value)
 
         def one(key, text):
             return key, *bpe.digest(text)
