@@ -13,6 +13,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -91,6 +92,12 @@ class PieceCounter:
         return sum([memo[w] for w in self.cut(MARK + text.replace(" ", MARK))])
 
 
+@lru_cache(maxsize=2)
+def loaded(file: bytes) -> PieceCounter:
+    """A worker's counter and cache, for all of its tasks."""
+    return PieceCounter(file)
+
+
 def token_counts(docs: DataFrame, model_file: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts the tokens of every text.
 
@@ -101,7 +108,7 @@ def token_counts(docs: DataFrame, model_file: str, limit: int = 4096, id_col: st
     file = file_broadcast(docs.sparkSession, model_file)
 
     def start() -> Callable[..., tuple]:
-        count = PieceCounter(file.value)
+        count = loaded(file.value)
 
         def one(key, text):
             n = count(text)
