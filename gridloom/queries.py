@@ -428,7 +428,7 @@ def exponential_functions(spark, d):
 @query("""SELECT p_partkey, round(ceil(p_retailprice * 10) / 10, 9) AS up, round(floor(p_retailprice * 10) / 10, 9) AS down, trunc(p_retailprice) AS cut, round(floor(p_retailprice / 7 + 0.5) * 7, 9) AS mround, floor(p_retailprice / 5) * 5 AS floor5, ceil(p_retailprice / 3) * 3 AS ceiling3,
   floor(p_retailprice) AS floor_math, ceil(p_size / 2) * 2.0 AS even, CASE WHEN p_size % 2 = 1 THEN p_size ELSE p_size + 1 END::DOUBLE AS odd, CAST(factorial(p_size % 15) AS DOUBLE) AS fact, CAST(gcd(p_size, 36) AS DOUBLE) AS gcd, CAST(lcm(p_size, 36) AS DOUBLE) AS lcm,
   to_base(p_partkey, 16) AS hex, CAST(p_partkey AS DOUBLE) AS back, CAST(p_size AS DOUBLE) AS roman, CAST(p_size + 3 AS DOUBLE) * (p_size + 2) * (p_size + 1) / 6 AS combin, CAST(p_size + 3 AS DOUBLE) * (p_size + 2) AS permut,
-  CASE WHEN p_size % 2 = 0 THEN 48.0 ELSE 105.0 END AS fact2 FROM part""")
+  CASE WHEN p_size % 2 = 0 THEN 48.0 ELSE 105.0 END::DOUBLE AS fact2 FROM part""")
 def rounding_functions(spark, d):
     f = {
         "up": "=ROUNDUP(p_retailprice,1)", "down": "=ROUNDDOWN(p_retailprice,1)", "cut": "=TRUNC(p_retailprice)", "mround": "=MROUND(p_retailprice,7)", "floor5": "=FLOOR(p_retailprice,5)", "ceiling3": "=CEILING.MATH(p_retailprice,3)", "floor_math": "=FLOOR.MATH(p_retailprice)",
@@ -440,7 +440,7 @@ def rounding_functions(spark, d):
 
 @query("""SELECT c_custkey, c_mktsegment || c_nationkey || '!' AS cat, 'x' || c_nationkey || c_name AS cat2, c_mktsegment || ', ' || c_name AS joined, CAST(ascii(c_mktsegment) AS DOUBLE) AS code, CAST(unicode(c_mktsegment) AS DOUBLE) AS uni, chr(CAST(65 + c_nationkey % 26 AS INTEGER)) AS chr,
   chr(CAST(913 + c_nationkey % 10 AS INTEGER)) AS unichr, lower(c_name) AS low, upper(left(c_mktsegment, 1)) || lower(substr(c_mktsegment, 2)) AS proper, substr(c_name, 1, 2) || 'XY' || substr(c_name, 6) AS repl, CAST(nullif(strpos(lower(c_mktsegment), 'i'), 0) AS DOUBLE) AS search,
-  split_part(c_name, '#', 2) AS after, CAST(split_part(c_name, '#', 2) AS DOUBLE) AS num, CAST(split_part(c_name, '#', 2) AS DOUBLE) AS num2, c_mktsegment AS t, CASE WHEN c_acctbal > 0 THEN 1.0 ELSE 0.0 END AS n,
+  split_part(c_name, '#', 2) AS after, CAST(split_part(c_name, '#', 2) AS DOUBLE) AS num, CAST(split_part(c_name, '#', 2) AS DOUBLE) AS num2, c_mktsegment AS t, CASE WHEN c_acctbal > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS n,
   CASE WHEN c_acctbal < 0 THEN '-' ELSE '' END || '$' || format('{:,.2f}', abs(c_acctbal)) AS dollar, format('{:,.1f}', round(c_acctbal * 10) / 10) = format('{:,.1f}', round(c_acctbal * 10) / 10) AS fixed, 'a b' AS trimmed, 'ab' AS cleaned, replace(c_name, 'r#', 'r-') AS subst FROM customer""")
 def text_functions_more(spark, d):
     f = {
@@ -466,8 +466,8 @@ def date_functions_more(spark, d):
     return nines(calculated(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), f), "o_orderkey", f)
 
 
-@query("""SELECT c_custkey, true AS num, true AS txt, true AS nontxt, true AS logical, false AS blank, c_nationkey = 0 AS err, c_nationkey = 0 AS err2, false AS na, c_nationkey % 2 = 0 AS even, c_nationkey % 2 = 1 AS odd, 4.0 AS ty, CASE WHEN c_nationkey = 0 THEN 2.0 END AS et, false AS ref, false AS form,
-  CASE WHEN c_nationkey < 5 THEN 'low' WHEN c_nationkey < 15 THEN 'mid' ELSE 'high' END AS ifs, ['a', 'b', 'c'][c_nationkey % 3 + 1] AS pick, 7.0 AS ifna, c_nationkey <> 0 AS negated, (c_nationkey > 5) <> (c_acctbal > 0) AS xored, true AS yes, false AS no, CASE WHEN c_nationkey = 0 THEN 2.0 ELSE 16.0 END AS ty2 FROM customer""")
+@query("""SELECT c_custkey, true AS num, true AS txt, true AS nontxt, true AS logical, false AS blank, c_nationkey = 0 AS err, c_nationkey = 0 AS err2, false AS na, c_nationkey % 2 = 0 AS even, c_nationkey % 2 = 1 AS odd, 4.0::DOUBLE AS ty, CASE WHEN c_nationkey = 0 THEN 2.0 END::DOUBLE AS et, false AS ref, false AS form,
+  CASE WHEN c_nationkey < 5 THEN 'low' WHEN c_nationkey < 15 THEN 'mid' ELSE 'high' END AS ifs, ['a', 'b', 'c'][c_nationkey % 3 + 1] AS pick, 7.0::DOUBLE AS ifna, c_nationkey <> 0 AS negated, (c_nationkey > 5) <> (c_acctbal > 0) AS xored, true AS yes, false AS no, CASE WHEN c_nationkey = 0 THEN 2.0 ELSE 16.0 END::DOUBLE AS ty2 FROM customer""")
 def information_functions(spark, d):
     f = {
         "num": "=ISNUMBER(c_acctbal)", "txt": "=ISTEXT(c_name)", "nontxt": "=ISNONTEXT(c_acctbal)", "logical": "=ISLOGICAL(c_acctbal>0)", "blank": "=ISBLANK(c_name)", "err": "=ISERROR(1/c_nationkey)", "err2": "=ISERR(1/c_nationkey)", "na": "=ISNA(1/c_nationkey)", "even": "=ISEVEN(c_nationkey)", "odd": "=ISODD(c_nationkey)",
