@@ -155,19 +155,17 @@ def to_num(v: Val) -> Column:
 
 
 def general(x: Column) -> Column:
-    """A number with up to 15 significant digits; scientific below 1E-05 and from 1E+15 on."""
-    sci = F.format_string("%.14e", F.abs(x))
-    digits = F.regexp_replace(F.replace(F.split_part(sci, F.lit("e"), F.lit(1)), F.lit("."), F.lit("")), "0+$", "")
-    digits = F.when(digits == "", "0").otherwise(digits)
-    e = F.split_part(sci, F.lit("e"), F.lit(2)).try_cast("int")
-    n = F.length(digits)
-    whole = F.rpad(F.left(digits, F.least(n, e + 1)), e + 1, F.lit("0"))
-    plain = F.when(n > e + 1, F.concat(whole, F.lit("."), F.right(digits, n - e - 1))).otherwise(whole)
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), F.greatest(-e - 1, F.lit(0))), digits)
-    mantissa = F.when(n > 1, F.concat(F.left(digits, F.lit(1)), F.lit("."), F.right(digits, n - 1))).otherwise(digits)
-    exponent = F.concat(F.when(e < 0, "E-").otherwise("E+"), F.lpad(F.abs(e).cast("string"), F.greatest(F.length(F.abs(e).cast("string")), F.lit(2)), F.lit("0")))
-    body = F.when((e < -5) | (e >= 15), F.concat(mantissa, exponent)).when(e >= 0, plain).otherwise(small)
-    return F.when(x.isNull(), None).when(F.isnan(x), "NaN").when(x == 0, "0").otherwise(F.concat(F.when(x < 0, "-").otherwise(""), body))
+    """A number with up to 15 significant digits; scientific below 0.0001 and from 1E+15 on.
+
+    What is rounded is the shortest decimal that names the number, so a 16th digit of 5 is raised even where the binary value
+    is below the tie. The rounded number has at most 20 decimals where it is plain, so its decimal is exact.
+    """
+    digits = F.format_string("%.14e", F.abs(x))
+    rounded = digits.try_cast("double")
+    plain = F.regexp_replace(rounded.try_cast("decimal(38,20)").cast("string"), r"\.?0+$", "")
+    scientific = F.regexp_replace(F.upper(digits), r"\.?0*E", "E")
+    body = F.when(rounded.between(1e-4, 999999999999999.0), plain).otherwise(scientific)
+    return F.when(x.isNull(), None).when(x == 0, "0").when(F.isnan(x), "NaN").when(F.abs(x) == float("inf"), F.when(x > 0, "Infinity").otherwise("-Infinity")).otherwise(F.concat(F.when(x < 0, "-").otherwise(""), body))
 
 
 def to_text(v: Val) -> Column:

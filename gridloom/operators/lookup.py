@@ -21,10 +21,13 @@ def matching(df: DataFrame, name: str) -> Column:
 
 
 def keyed(df: DataFrame, name: str, other: DataFrame, other_name: str) -> tuple[Column, Column]:
-    """The two sides' keys; of the same plain type they are compared as they are."""
+    """The two sides' keys; of the same plain type they are compared as they are, numbers of two types as doubles."""
     a, b = dict(df.dtypes)[name], dict(other.dtypes)[other_name]
     if a == b and a != "string":
         return F.col(f"`{name}`"), F.col(f"`{other_name}`")
+    left, right = column_value(name, a), column_value(other_name, b)
+    if left.kind == right.kind == "number":
+        return left.col, right.col
     return matching(df, name), matching(other, other_name)
 
 

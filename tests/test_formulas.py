@@ -19,7 +19,7 @@ GOLDENS = {
     'TRIM("  a   b  ")': "a b", 'SUBSTITUTE("a-b-c","-","+")': "a+b+c", 'SUBSTITUTE("a-b-c","-","+",2)': "a-b+c", 'SUBSTITUTE("a.b","x","y")': "a.b", 'REPLACE("abcdef",2,3,"X")': "aXef", 'MID("abcdef",2,3)': "bcd", 'MID("abc",9,1)': "",
     'LEFT("abc")': "a", 'RIGHT("abc",2)': "bc", 'PROPER("hello wORLD-wide")': "Hello World-Wide", 'FIND("b","abc")': 2, 'SEARCH("B","abc")': 2, 'TEXTJOIN("-",TRUE,"a","","b")': "a--b", 'REPT("ab",2)': "abab", 'EXACT("a","A")': False, 'CODE("A")': 65, "CHAR(65)": "A",
     "UNICHAR(128512)": "😀", 'UNICODE("😀")': 128512, 'VALUE("1,234.5")': 1234.5, 'VALUE("x")': 0, 'TEXTBEFORE("a-b-c","-",2)': "b", 'TEXTAFTER("a-b-c","-",1)': "b-c", 'TEXTAFTER("abc","-")': "abc", "DOLLAR(1234.567)": "$1,234.57", "FIXED(1234.567,1)": "1,234.6", 'CLEAN("a"&CHAR(7)&"b")': "ab",
-    'TEXT(1234.5,"#,##0.00")': "1,234.50", 'TEXT(-5,"0;(0)")': "(5)", 'TEXT(0.125,"0.0%")': "12.5%", 'TEXT(0,"0;-0;zero")': "zero0", 'T("x")': "x", "N(TRUE)": 1, "1/4&\"\"": "0.25", "1E+20&\"\"": "1E+20", "123456789012345678&\"\"": "1.23456789012346E+17",
+    'TEXT(1234.5,"#,##0.00")': "1,234.50", 'TEXT(-5,"0;(0)")': "(5)", 'TEXT(0.125,"0.0%")': "12.5%", 'TEXT(0,"0;-0;zero")': "zero0", 'T("x")': "x", "N(TRUE)": 1, "1/4&\"\"": "0.25", "1E+20&\"\"": "1E+20", "0.0001&\"\"": "0.0001", "0.00001&\"\"": "1E-05", "0.00009999&\"\"": "9.999E-05", "999999999999999.6&\"\"": "1E+15", "100.50&\"\"": "100.5", "123456789012345678&\"\"": "1.23456789012346E+17",
     "DATE(2020,1,15)": 43845, "DATE(2020,14,1)": 44228, "DATE(1900,1,1)": 1, "YEAR(43845)": 2020, "MONTH(43845)": 1, "DAY(43845)": 15, "WEEKDAY(43845)": 4, "WEEKDAY(43845,2)": 3, "WEEKDAY(43845,3)": 2, "EOMONTH(43845,1)": 43890, "EDATE(DATE(2020,1,31),1)": 43890, "DAYS(10,4)": 6,
     'DATEDIF(DATE(2020,1,15),DATE(2020,2,10),"MD")': 26, 'DATEDIF(DATE(2020,1,15),DATE(2021,3,10),"M")': 14, "DAYS360(DATE(2020,1,31),DATE(2020,3,31))": 60, "ISOWEEKNUM(DATE(2021,1,3))": 53, "WEEKNUM(DATE(2020,1,5))": 2, "YEARFRAC(DATE(2020,1,1),DATE(2021,1,1),1)": 1, "TIME(12,0,0)": 0.5, 'DATEVALUE("2020-01-15")': 43845, 'TIMEVALUE("06:00")': 0.25, "HOUR(43845.75)": 18,
     "PMT(0,10,100)": -10, "FV(0,10,-5)": 50, "PV(0,10,-5)": 50, "NPER(0,-10,100)": 10, "NPV(0.1,110)": 100, "SLN(100,10,9)": 10, "EFFECT(0.1,1)": 0.1,

@@ -20,6 +20,9 @@ def test_exact_lookup_takes_the_first_of_equal_keys(spark):
     n = spark.createDataFrame([(5,)], "k int")
     s = spark.createDataFrame([(1, "5", "five")], "pos int, key string, value string")
     assert rows(lookup.vlookup(n, "k", s, "key", "pos", {"v": "value"})) == [(5, "five")]
+    d = spark.createDataFrame([(3.0,), (3.0000000000000004,), (-0.0,), (None,)], "k double")  # numbers are equal by value, not by their texts
+    i = spark.createDataFrame([(1, 3, "three"), (2, 0, "none"), (3, None, "blank")], "pos int, key int, value string")
+    assert rows(lookup.vlookup(d, "k", i, "key", "pos", {"v": "value"})) == sorted([(3.0, "three"), (3.0000000000000004, None), (-0.0, "none"), (None, None)], key=str)
 
 
 def test_ordered_lookups_against_brute_force(spark):
