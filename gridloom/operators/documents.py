@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..shared import join_hot, running, written
+from ..shared import join_hot, left_join_hot, running, written
 from .orderstats import join_groups, without_groups
 
 LINE_GAP, WORD_GAP = 2.0, 1.0
@@ -232,6 +232,61 @@ def inserted(pages: DataFrame, page: str, at: int, new: DataFrame, by: list[str]
     return moved.unionByName(new.withColumn(page, F.col(page) + (at - 1)))
 
 
+def places(pages: DataFrame, page: str, which: Column, to: int | Column, by: list[str]) -> DataFrame:
+    """The pages with __was, where in its document the page meant lies (null: there is none), and __to, where it goes."""
+    meant = F.when(which, F.col(page))
+    counts = written(pages.groupBy(*by).agg(F.count("*").alias("pages"), F.count(meant).alias("__meant"), F.min(meant).alias("__was")), "page-places")
+    counts = counts.withColumn("__to", F.when(F.col("__was").isNotNull(), (to if isinstance(to, Column) else F.lit(to)).cast("long")))
+    if not counts.filter("__meant > 1").isEmpty():
+        raise ValueError("at most one page of a document can be meant")
+    return join_groups(pages.drop("pages"), counts.drop("__meant"), by)
+
+
+def moved(pages: DataFrame, page: str, which: Column, to: int | Column, by: list[str]) -> DataFrame:
+    """The page of each document for which `which` holds goes to place `to`, and those between move by one.
+
+    Pages are numbered from 1; `to` may be a Column over `pages`, the number of the document's, so that F.col("pages") is
+    the last place (the front of a drawing order) and 1 the first (its back). A document of which no page is meant stays as
+    it is; one with two, or a place outside a document, is an error.
+    """
+    at = places(pages, page, which, to, by)
+    if not at.filter(~F.coalesce(F.col("__to").between(1, F.col("pages")), F.col("__was").isNull())).isEmpty():
+        raise ValueError("the place lies outside a document")
+    p, was, goal = F.col(page), F.col("__was"), F.col("__to")
+    place = F.when(p == was, goal).when((p > was) & (p <= goal), p - 1).when((p < was) & (p >= goal), p + 1).otherwise(p)
+    return at.select(*[place.cast(pages.schema[c].dataType).alias(c) if c == page else F.col(f"`{c}`") for c in pages.columns])
+
+
+def cloned(pages: DataFrame, page: str, which: Column, by: list[str], to: int | Column | None = None) -> DataFrame:
+    """A copy of the page of each document for which `which` holds, at place `to` (null: after the last); later ones move on.
+
+    `to` is as for moved(), and may be one past the last page.
+    """
+    at = places(pages, page, which, F.col("pages") + 1 if to is None else to, by)
+    if not at.filter(~F.coalesce(F.col("__to").between(1, F.col("pages") + 1), F.col("__was").isNull())).isEmpty():
+        raise ValueError("the place lies outside a document")
+    p, goal = F.col(page), F.col("__to")
+    kept = F.array(F.when(p >= goal, p + 1).otherwise(p))
+    every = at.withColumn("__place", F.explode(F.when(p == F.col("__was"), F.concat(kept, F.array(goal))).otherwise(kept)))
+    return every.select(*[F.col("__place").cast(pages.schema[c].dataType).alias(c) if c == page else F.col(f"`{c}`") for c in pages.columns])
+
+
+def inherited(df: DataFrame, levels: list[tuple[DataFrame, str, str]], columns: list[str]) -> DataFrame:
+    """Columns that are null take the value of the nearest level above that has one: own, layout, master.
+
+    A level: its table, the key's name in it, unique, and the column that names it: the table's own or one of the level
+    before. A row whose level is null or missing inherits nothing from there on.
+    """
+    found, step = df, dict(zip(df.columns, df.columns))
+    for k, (table, key, link) in enumerate(levels):
+        names = {c: f"__level{k}_{c}" for c in table.columns if c != key}
+        level = table.filter(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").alias("__level_key"), *[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+        found = left_join_hot(found, F.col(f"`{step[link]}`"), level, "__level_key")
+        step = names
+    given = lambda c: [F.col(f"`__level{k}_{c}`") for k, (t, key, _) in enumerate(levels) if c in t.columns and c != key]
+    return found.select(*[F.coalesce(F.col(f"`{c}`"), *given(c)).alias(c) if c in columns else F.col(f"`{c}`") for c in df.columns])
+
+
 def rotated(rotation: Column, degrees: int, relative: bool = True) -> Column:
     """A page's rotation after turning it; only by quarter turns."""
     if degrees % 90:

@@ -694,6 +694,28 @@ def doc_insert(spark, d):
     return docs.inserted(c, "page", 2, new, ["conv_id"])
 
 
+@query("SELECT conv_id, role, CASE WHEN turn = 0 THEN count(*) OVER (PARTITION BY conv_id) ELSE turn END AS page FROM conversations")
+def doc_move(spark, d):
+    c = table(spark, d, "conversations").select("conv_id", (F.col("turn") + 1).cast("long").alias("page"), "role")
+    return docs.moved(c, "page", F.col("page") == 1, F.col("pages"), ["conv_id"])
+
+
+@query("""SELECT conv_id, role, CASE WHEN turn >= 1 THEN turn + 2 ELSE turn + 1 END AS page FROM conversations UNION ALL SELECT conv_id, role, 2 FROM conversations WHERE turn = 0""")
+def doc_clone(spark, d):
+    c = table(spark, d, "conversations").select("conv_id", (F.col("turn") + 1).cast("long").alias("page"), "role")
+    return docs.cloned(c, "page", F.col("page") == 1, ["conv_id"], 2)
+
+
+@query("""SELECT c_custkey, coalesce(CASE c_custkey % 3 WHEN 0 THEN true WHEN 1 THEN false END, CASE WHEN n_nationkey % 2 = 0 THEN true END, r_regionkey % 2 = 1) AS bold, coalesce(CASE WHEN c_acctbal < 0 THEN c_mktsegment END, CASE WHEN n_nationkey % 5 = 0 THEN n_name END, r_name) AS font
+FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey = n_regionkey""")
+def doc_inherited(spark, d):
+    yes = lambda c: F.when(c, True)
+    own = table(spark, d, "customer").select("c_custkey", "c_nationkey", F.when(F.col("c_custkey") % 3 == 0, True).when(F.col("c_custkey") % 3 == 1, False).alias("bold"), F.when(F.col("c_acctbal") < 0, F.col("c_mktsegment")).alias("font"))
+    layouts = table(spark, d, "nation").select("n_nationkey", "n_regionkey", yes(F.col("n_nationkey") % 2 == 0).alias("bold"), F.when(F.col("n_nationkey") % 5 == 0, F.col("n_name")).alias("font"))
+    masters = table(spark, d, "region").select("r_regionkey", (F.col("r_regionkey") % 2 == 1).alias("bold"), F.col("r_name").alias("font"))
+    return docs.inherited(own, [(layouts, "n_nationkey", "c_nationkey"), (masters, "r_regionkey", "n_regionkey")], ["bold", "font"]).drop("c_nationkey")
+
+
 @query("SELECT page_id, CAST((page_id % 4 * 90 + 270) % 360 AS INTEGER) AS turned FROM pages")
 def doc_rotate(spark, d):
     return table(spark, d, "pages").select("page_id", docs.rotated((F.col("page_id") % 4 * 90).cast("int"), -90).cast("int").alias("turned"))

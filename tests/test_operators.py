@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from gridloom.operators import documents as docs
@@ -130,3 +131,27 @@ def test_texts(spark):
     assert '"y":2.0' in texts.chart_json(pts, F.col("category"), "T").first()[0]
     xml = texts.document_xml(spark.createDataFrame([(1, 1, 1, "a<b")], "id int, page int, line int, text string"), "id")
     assert rows(texts.xml_paragraphs(xml, "id", "xml")) == [(1, 0, "a<b")]
+
+
+def test_pages_moved_and_cloned(spark):
+    decks = [("a", 1, "x"), ("a", 2, "y"), ("a", 3, "z"), (None, 1, "x"), (None, 2, "w"), ("b", 1, "q")]
+    df, is_x = spark.createDataFrame(decks, "deck string, place long, name string"), F.col("name") == "x"
+    order = lambda out: {d: "".join(r.name for r in sorted(out.collect(), key=lambda r: r.place) if r.deck == d) for d in ("a", None, "b")}
+    assert order(docs.moved(df, "place", is_x, F.col("pages"), ["deck"])) == {"a": "yzx", None: "wx", "b": "q"}
+    assert order(docs.moved(df, "place", F.col("name") == "z", 1, ["deck"])) == {"a": "zxy", None: "xw", "b": "q"}
+    assert order(docs.cloned(df, "place", is_x, ["deck"])) == {"a": "xyzx", None: "xwx", "b": "q"}
+    twice = docs.cloned(df, "place", is_x, ["deck"], 1)
+    assert order(twice) == {"a": "xxyz", None: "xxw", "b": "q"} and twice.schema["place"].dataType == df.schema["place"].dataType
+    for bad in (lambda: docs.moved(df, "place", is_x, 4, ["deck"]), lambda: docs.moved(df, "place", F.col("place") < 3, 1, ["deck"]), lambda: docs.cloned(df, "place", is_x, ["deck"], 0)):
+        with pytest.raises(ValueError):
+            bad()
+    assert docs.moved(df.limit(0), "place", is_x, 1, ["deck"]).count() == 0
+
+
+def test_inherited_values_come_from_the_nearest_level(spark):
+    shapes = spark.createDataFrame([(1, "l1", None, None), (2, "l1", False, 9.0), (3, "l2", None, None), (4, None, None, None), (5, "lost", True, None)], "id int, layout string, bold boolean, size double")
+    layouts = spark.createDataFrame([("l1", "m", None, 12.0), ("l2", None, True, None), (None, "m", True, 1.0)], "name string, master string, bold boolean, size double")
+    masters = spark.createDataFrame([("m", True)], "master string, bold boolean")
+    got = docs.inherited(shapes, [(layouts, "name", "layout"), (masters, "master", "master")], ["bold", "size"])
+    assert got.columns == shapes.columns
+    assert rows(got) == sorted([(1, "l1", True, 12.0), (2, "l1", False, 9.0), (3, "l2", True, None), (4, None, None, None), (5, "lost", True, None)], key=str)
