@@ -2,7 +2,7 @@
 
 A presentation is read in one task from its bytes, by way of a table of ids and bytes or Spark's binaryFile source. What it
 holds becomes rows: slides, shapes, paragraphs, runs, table cells, notes, comments with their authors, sections, links,
-diagram nodes, transitions, animations and counts. A null or unreadable file gives no rows.
+diagram nodes, charts, transitions, animations and counts. A null or unreadable file gives no rows.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .charts import POINTS, charts_in
 from .workbook import LINK, relationships
 
 DRAW = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
@@ -262,6 +263,13 @@ def diagram_rows(deck: Deck) -> Iterator[tuple]:
                     yield k, n, "0" if src.get("type") == "doc" else c.get("srcId"), c.get("destId"), whole(c.get("srcOrd")) or 0, text
 
 
+def chart_points(deck: Deck) -> Iterator[tuple]:
+    """Points of the charts on each slide."""
+    for k, _, part, slide in () if deck.odp else deck.slides():
+        for row in charts_in(deck.zip, part, slide):
+            yield (k, *row)
+
+
 def transition_rows(deck: Deck) -> Iterator[tuple]:
     for k, _, _, slide in () if deck.odp else deck.slides():
         t = next(iter(slide.iter(f"{SHOW}transition")), None)
@@ -304,6 +312,7 @@ TABLES = {
     "sections": ("section long, name string, slide_ids array<long>", section_rows),
     "links": ("slide long, place string, shape string, target string, action string", link_rows),
     "diagrams": ("slide long, diagram long, parent string, id string, ord long, text string", diagram_rows),
+    "charts": (f"slide long, chart long, {POINTS}", chart_points),
     "transitions": ("slide long, effect string, direction string, seconds double, on_click boolean, after double", transition_rows),
     "animations": ("slide long, sequence long, seq long, preset long, class string, trigger string, shape long", animation_rows),
     "statistics": ("slides long, hidden long, notes long", statistic_rows),

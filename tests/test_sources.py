@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gridloom.operators import documents as docs
 from gridloom.operators import grid, lookup, pivot
-from gridloom.sources import csv, pdf, slides, workbook
+from gridloom.sources import charts, csv, pdf, slides, workbook
 
 
 def rows(df):
@@ -280,3 +280,39 @@ def test_csv_in_parts_and_with_marks(spark, tmp_path):
     assert rows(csv.read_csv(spark, f"{tmp_path}/o", columns=2)) == [("b", ""), ("é,x", "1")] or rows(csv.read_csv(spark, f"{tmp_path}/o", columns=2)) == [("b", None), ("é,x", "1")]
     (tmp_path / "big.csv").write_bytes(b"a,1\nb,2\n" * 1000)
     assert csv.read_csv(spark, f"{tmp_path}/big.csv", split=True).count() == 2000 and csv.sniffed_encoding(spark, f"{tmp_path}/big.csv") == "UTF-8"
+
+
+def test_charts_of_workbooks_and_slides(spark):
+    pts = lambda kind, *vs: f"<c:{kind}Ref><c:{kind}Cache>" + "".join(f'<c:pt idx="{i}"><c:v>{v}</c:v></c:pt>' for i, v in enumerate(vs)) + f"</c:{kind}Cache></c:{kind}Ref>"
+    space = lambda body, title="": f'<c:chartSpace xmlns:c="http://schemas.openxmlformats.org/drawingml/2006/chart" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"><c:chart>{title}<c:plotArea>{body}</c:plotArea></c:chart></c:chartSpace>'
+    ser = lambda name, body: f"<c:ser><c:tx>{name}</c:tx>{body}</c:ser>"
+    bars = space(f'<c:layout/><c:barChart><c:barDir val="bar"/><c:grouping val="stacked"/>{ser(pts("str", "one"), "<c:cat>" + pts("str", "a", "b") + "</c:cat><c:val>" + pts("num", "1", "NaN", "x", "3") + "</c:val>")}{ser("<c:v>two</c:v>", "")}</c:barChart>', "<c:title><c:tx><c:rich><a:p><a:r><a:t>My </a:t></a:r><a:r><a:t>chart</a:t></a:r></a:p></c:rich></c:tx></c:title>")
+    dots = space(f'<c:scatterChart>{ser("", "<c:xVal>" + pts("num", "1", "2") + "</c:xVal><c:yVal><c:numLit><c:pt><c:v>5</c:v></c:pt></c:numLit></c:yVal>")}</c:scatterChart>')
+    rel = lambda *items: '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="{i}" Type="http://x/{t}" Target="{x}"/>' for i, t, x in items) + "</Relationships>"
+    names = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships" xmlns:c="http://schemas.openxmlformats.org/drawingml/2006/chart"'
+    main = f'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" {names}'
+
+    def packed(parts):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for name, xml in parts.items():
+                z.writestr(name, xml)
+        return out.getvalue()
+
+    book = packed({
+        "xl/workbook.xml": f'<workbook {main}><sheets><sheet name="S" r:id="rId1"/><sheet name="Bare" r:id="rId2"/></sheets></workbook>', "xl/_rels/workbook.xml.rels": rel(("rId1", "worksheet", "worksheets/s1.xml"), ("rId2", "worksheet", "worksheets/s2.xml")),
+        "xl/worksheets/s1.xml": f'<worksheet {main}><sheetData/><drawing r:id="rId1"/></worksheet>', "xl/worksheets/s2.xml": f"<worksheet {main}><sheetData/></worksheet>", "xl/worksheets/_rels/s1.xml.rels": rel(("rId1", "drawing", "../drawings/d1.xml")),
+        "xl/drawings/d1.xml": f'<wsDr {names}><c:chart r:id="rId2"/><c:chart r:id="rId1"/><c:chart r:id="lost"/></wsDr>', "xl/drawings/_rels/d1.xml.rels": rel(("rId1", "chart", "../charts/c1.xml"), ("rId2", "chart", "../charts/c2.xml")),
+        "xl/charts/c1.xml": bars, "xl/charts/c2.xml": dots,
+    })
+    files = spark.createDataFrame([("b", book), ("none", None)], "name string, content binary")
+    bar_rows = [("My chart", "bar", "stacked", 1, "one", 1, "a", None, 1.0), ("My chart", "bar", "stacked", 1, "one", 2, "b", None, None), ("My chart", "bar", "stacked", 1, "one", 3, None, None, 3.0), ("My chart", "bar", "stacked", 2, "two", None, None, None, None)]
+    dot_rows = [(None, "scatter", "marker", 1, "", 1, None, 1.0, 5.0), (None, "scatter", "marker", 1, "", 2, None, 2.0, None)]
+    assert rows(charts.workbook_charts(files, "name", "content")) == sorted([("b", "S", 1, *r) for r in dot_rows] + [("b", "S", 2, *r) for r in bar_rows], key=str)
+    show = f"{SHOW} {names.split(' ', 1)[1]}"
+    shown = packed({
+        "ppt/presentation.xml": f'<p:presentation {SHOW}><p:sldIdLst><p:sldId id="256" r:id="rId1"/></p:sldIdLst></p:presentation>', "ppt/_rels/presentation.xml.rels": rel(("rId1", "slide", "slides/slide1.xml")),
+        "ppt/slides/slide1.xml": f'<p:sld {show}><p:cSld><p:spTree><p:graphicFrame><a:graphic><c:chart r:id="rId1"/></a:graphic></p:graphicFrame></p:spTree></p:cSld></p:sld>', "ppt/slides/_rels/slide1.xml.rels": rel(("rId1", "chart", "../charts/c1.xml")), "ppt/charts/c1.xml": bars,
+    })
+    decks = spark.createDataFrame([(1, shown), (2, None)], "doc long, content binary")
+    assert rows(slides.records(decks, "charts", "doc")) == sorted([(1, 1, 1, *r) for r in bar_rows], key=str)
